@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -42,10 +43,24 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
+#: Rows and bytes of one Arrow batch.  A worker holds a batch or two at a time and an executor has a worker a core.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ARROW_ROWS and ARROW_BYTES where they are larger."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    digits = re.match(r"(\d+)b?$", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"), re.I)
+    if not digits or int(digits[1]) > ARROW_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def own_columns(df: DataFrame, **wanted: str) -> DataFrame:
     """Select only what an operator reads, under names of its own, so that extra columns of the input, whatever
     they are called, never clash with what the operator adds."""
     importable(df.sparkSession)
+    small_batches(df.sparkSession)
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in wanted.items()])
 
 

@@ -31,8 +31,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SHIFT = 10.0
 UNKNOWN = -12.0
 SPACE = "▁"
-TOGETHER = 1_500_000
-HOT_WORDS = 40_000
+#: Texts are taken together up to so many code points; the words kept are counted over so many code points, at most HOT_WORDS.
+TOGETHER, COUNTED, HOT_WORDS = 800_000, 4_000_000, 30_000
 #: No Gumbel made from 53 random bits exceeds this.
 GUMBEL_MOST = 37.0
 #: The search looks at so many edges of a path at first, and at twice as many while deeper ones could still win.
@@ -324,6 +324,19 @@ class Sampler:
         self.vocabulary = vocabulary
         self.hot: Lattice | None = None
         self.number: dict[str, int] = {}
+        self.often: dict[str, int] = {}
+        self.met = 0
+
+    def _count(self, unique: list[str], index: np.ndarray, size: int) -> None:
+        """Count words until enough text was seen, then keep the lattice of the frequent ones."""
+        counts = np.bincount(index, minlength=len(unique))
+        for i in np.flatnonzero(counts > 1):
+            self.often[unique[i]] = self.often.get(unique[i], 0) + int(counts[i])
+        self.met += size
+        if self.met >= COUNTED:
+            chosen = sorted(self.often, key=lambda w: (-self.often[w], w))[:HOT_WORDS]
+            self.often = {}
+            self.hot, self.number = Lattice.of([SPACE + w for w in chosen], self.vocabulary), {w: i for i, w in enumerate(chosen)}
 
     def _lattice(self, words: list[str]) -> tuple[np.ndarray, Lattice]:
         """The index of each word among the begins of the lattice."""
@@ -351,11 +364,8 @@ class Sampler:
                 words += found
         coded = pa.array(words, pa.string()).dictionary_encode()
         index, unique = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        if self.hot is None and len(words) > 1000:
-            often = np.bincount(index, minlength=len(unique))
-            chosen = [unique[i] for i in np.argsort(-often, kind="stable")[:HOT_WORDS] if often[i] >= 3]
-            if chosen:
-                self.hot, self.number = Lattice.of([SPACE + w for w in chosen], self.vocabulary), {w: i for i, w in enumerate(chosen)}
+        if self.hot is None and len(words):
+            self._count(unique, index, sum(len(t) for t in texts if t))
         where, lattice = self._lattice(unique)
         begin = lattice.begin[where[index]] if len(words) else np.zeros(0, np.int64)
         starts = np.concatenate(([0], np.cumsum(counts)))

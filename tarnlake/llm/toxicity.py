@@ -317,4 +317,5 @@ def keep_clean(docs: DataFrame, model: Model, cut: float = 0.7, text_col: str =
             texts = batch.column(batch.schema.names.index(text_col))
             yield batch.filter(pa.array([model.score(t.as_py()) < cut for t in texts], pa.bool_()))
 
+    own_columns(docs, text=text_col)
     return docs.mapInArrow(run, docs.schema)
