@@ -25,7 +25,7 @@ def substr(text: Column, start: Column, length: Column | None = None) -> Column:
 
 def to_integer(value: Column, kind: str = "bigint") -> Column:
     """float to integer, half to even; null where it does not fit."""
-    return F.expr("1") * 0 if value is None else F.bround(value).try_cast(kind)
+    return F.bround(value).try_cast(kind)
 
 
 def to_boolean(text: Column) -> Column:
@@ -49,21 +49,21 @@ def generate_series(start: Column, stop: Column, step: Column | None = None) ->
 
 
 def interval_parts(later: Column, earlier: Column) -> tuple[Column, Column]:
-    """Whole months and left-over days of later - earlier, days borrowed from the month before ``later``."""
+    """Whole months and left-over days of later - earlier, days borrowed from the month of the earlier date."""
     a, b = later.cast("date"), earlier.cast("date")
     back = a < b
     hi, lo = F.greatest(a, b), F.least(a, b)
     months = (F.year(hi) - F.year(lo)) * 12 + F.month(hi) - F.month(lo)
     short = F.day(hi) < F.day(lo)
     whole = months - short.cast("int")
-    borrowed = F.day(F.last_day(F.add_months(hi, -1)))
+    borrowed = F.day(F.last_day(lo))
     days = F.day(hi) - F.day(lo) + F.when(short, borrowed).otherwise(0)
     return F.when(back, -whole).otherwise(whole), F.when(back, -days).otherwise(days)
 
 
 def interval_text(months: Column, days: Column) -> Column:
     """'1 year 2 mons 3 days'; '00:00:00' for nothing."""
-    years, rest = F.expr("1") * F.floor(F.abs(months) / 12), F.abs(months) % 12
+    years, rest = F.floor(F.abs(months) / 12), F.abs(months) % 12
     sign = F.when(months < 0, F.lit("-")).otherwise(F.lit(""))
     day_sign = F.when(days < 0, F.lit("-")).otherwise(F.lit(""))
 
