@@ -103,7 +103,7 @@ class Model:
         starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
         total = np.zeros((len(batch), out.shape[1]))
         for found in ngram_buckets(b"".join(batch) + b"    "):
-            total += np.add.reduceat(self.table[found[: lengths.sum()]], starts, axis=0)
+            total += np.add.reduceat(self.table[found[: lengths.sum()]], starts, axis=0, dtype=np.float64)
         out[held] = total / (lengths * len(ORDERS))[:, None]
 
 
@@ -202,7 +202,7 @@ def _predict_batches(model: Model):
             if known:
                 p = model.scores(model.means([texts[i] for i in known]))
                 for i, c, s in zip(known, p.argmax(1), p.max(1)):
-                    lang[i], score[i] = model.languages[c], s
+                    lang[i], score[i] = model.languages[c], round(float(s), 9)  # sums differ in their last bits by what they are batched with
             columns = [batch.column("id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score), pa.array(score < model.threshold)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
