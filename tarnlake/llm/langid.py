@@ -53,9 +53,10 @@ def padded(text: str) -> bytes:
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, weights) of a text; weights sum to 1.  Long texts are taken in pieces, whole."""
     data, counts = padded(text), np.zeros(BUCKETS, np.float64)
-    for at in range(0, len(data) - 4, PIECE):
+    n = len(data) - 4  # an n-gram begins at each byte but those of the padding
+    for at in range(0, n, PIECE):
         for found in ngram_buckets(data[at : at + PIECE + 4]):
-            counts += np.bincount(found[:PIECE], minlength=BUCKETS)
+            counts += np.bincount(found[: min(PIECE, n - at)], minlength=BUCKETS)
     where = np.flatnonzero(counts)
     return where.astype(np.int32), (counts[where] / counts.sum()).astype(np.float32)
 
@@ -81,12 +82,11 @@ class Model:
         for i, text in enumerate(texts):
             data = padded(text)
             if len(data) > PIECE:
-                total, n = np.zeros(out.shape[1]), 0
-                for at in range(0, len(data) - 4, PIECE):
+                total, n = np.zeros(out.shape[1]), len(data) - 4
+                for at in range(0, n, PIECE):
                     for found in ngram_buckets(data[at : at + PIECE + 4]):
-                        total += self.table[found[:PIECE]].sum(0, dtype=np.float64)
-                        n += min(len(found), PIECE)
-                out[i] = total / n
+                        total += self.table[found[: min(PIECE, n - at)]].sum(0, dtype=np.float64)
+                out[i] = total / (n * len(ORDERS))
                 continue
             batch.append(data)
             held.append(i)
@@ -101,10 +101,11 @@ class Model:
     def _together(self, batch: list[bytes], held: list[int], out: np.ndarray) -> None:
         lengths = np.array([len(x) for x in batch])
         starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+        cuts = np.column_stack((starts, starts + lengths - 4)).ravel()  # a text's own n-grams, then those of its padding
         total = np.zeros((len(batch), out.shape[1]))
-        for found in ngram_buckets(b"".join(batch) + b"    "):
-            total += np.add.reduceat(self.table[found[: lengths.sum()]], starts, axis=0, dtype=np.float64)
-        out[held] = total / (lengths * len(ORDERS))[:, None]
+        for found in ngram_buckets(b"".join(batch)):
+            total += np.add.reduceat(self.table[found], np.minimum(cuts, len(found) - 1), axis=0, dtype=np.float64)[::2]
+        out[held] = total / ((lengths - 4) * len(ORDERS))[:, None]
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], languages: list[str], seed: int = 5) -> Model:
