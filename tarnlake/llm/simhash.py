@@ -150,14 +150,15 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str =
 
 #: drop_near: minima a text (one byte each is kept for the estimate), and tables keyed by three of them.
 MINIMA, TRIPLES = 256, 24
+#: How far below and above the wanted similarity an estimate leaves it open; ids of at most so many open rows are broadcast.
+DOUBT, BROADCAST_NODES = (0.2, 0.15), 1_000_000
 
 
-def minima(text: str | None, words: int) -> np.ndarray:
-    """MINIMA uint64 least hashes of the distinct word shingles, one a slice of the hash range; an empty slice borrows
-    from the next one that isn't.  All zero for a text without words."""
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct word shingles of a text as uint64 hashes in ascending order; none for a text without words."""
     parts = (text or "").encode().lower().split()
     if not parts:
-        return np.zeros(MINIMA, np.uint64)
+        return np.zeros(0, np.uint64)
     digest = xxhash.xxh3_64_intdigest
     each = np.array([digest(p) for p in parts], np.uint64)
     n = max(1, len(each) - words + 1)
@@ -165,7 +166,15 @@ def minima(text: str | None, words: int) -> np.ndarray:
     for i in range(min(words, len(each))):
         mixed = (mixed ^ each[i : i + n]) * np.uint64(0xD6E8FEB86659FD93)
         mixed ^= mixed >> np.uint64(32)
-    found = np.unique(mixed * np.uint64(0x9E3779B97F4A7C15))
+    return np.unique(mixed * np.uint64(0x9E3779B97F4A7C15))
+
+
+def minima(text: str | None, words: int) -> np.ndarray:
+    """MINIMA uint64 least hashes of the distinct word shingles, one a slice of the hash range; an empty slice borrows
+    from the next one that isn't.  All zero for a text without words."""
+    found = shingle_set(text, words)
+    if not len(found):
+        return np.zeros(MINIMA, np.uint64)
     at = np.searchsorted(found, np.arange(MINIMA, dtype=np.uint64) << np.uint64(56))
     own = np.zeros(MINIMA, bool)
     own[(found >> np.uint64(56)).astype(np.int64)] = True
@@ -213,24 +222,49 @@ def _candidate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[differ]), pa.array(np.maximum(a, b)[differ])], ["a", "b"])
 
 
-def _alike_batches(similarity: float):
+def _estimate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, MINIMA) for c in ("one", "two"))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((one == two).mean(1))], ["a", "b", "j"])
+
+
+def _set_batches(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [(shingle_set(t.as_py(), words) >> np.uint64(32)).astype("<u4").tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    return run
+
+
+def _exact_batches(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, MINIMA) for c in ("one", "two"))
-                alike = (one == two).mean(1) >= similarity
-                yield batch.select(["a", "b"]).filter(pa.array(alike))
+            alike = []
+            for one, two in zip(batch.column("one").to_pylist(), batch.column("two").to_pylist()):
+                x, y = np.frombuffer(one, "<u4"), np.frombuffer(two, "<u4")
+                shared = len(np.intersect1d(x, y))
+                alike.append(shared >= similarity * (len(x) + len(y) - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
     return run
 
 
+def _with_both(pairs: DataFrame, kept: DataFrame, value: str) -> DataFrame:
+    """pairs (a, b) with the value of either node as one and two."""
+    one = kept.select(F.col("node").alias("a"), F.col(value).alias("one"))
+    return pairs.join(one, "a").join(kept.select(F.col("node").alias("b"), F.col(value).alias("two")), "b").select("a", "b", "one", "two")
+
+
 def drop_near(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of near-duplicate texts, all columns kept.
 
     A resemblance of 0.8 on word shingles leaves some ten of 64 SimHash bits different, and covering tables of that radius number
     2^11 - 1.  So besides the covering tables of the text's SimHash there are TRIPLES tables keyed by three minima of
-    its shingles, of which a pair at 0.8 misses all with a chance below 1e-7.  Rows that meet in a table are linked if their estimated
-    resemblance, over MINIMA minima, is at least ``similarity``; groups are the connected components of the links.
+    its shingles, of which a pair at 0.8 misses all with a chance below 1e-7.  Of rows that meet in a table the
+    resemblance is estimated over MINIMA minima; where that is within DOUBT of ``similarity`` the two sets of shingles are
+    fetched and compared.  Groups are the connected components of the links.
 
     Texts without words are alike.  Rows with equal id and text go or stay together (drop exact copies first); the row
     that stays in a group is the one with the least hash.  Null ids are hashed like any other, and an empty table stays empty.
@@ -243,8 +277,13 @@ def drop_near(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius:
     tables = signed.select("node", F.posexplode("keys").alias("tab", "key")).select(F.col("tab").cast("bigint").alias("tab"), "key", "node")
     met = tables.repartition("tab", "key").sortWithinPartitions("tab", "key", "node").mapInArrow(_candidate_batches, "a bigint, b bigint")
     pairs = written(met.distinct(), "pairs")
-    kept = signed.select("node", "minima")
-    sided = pairs.join(kept.select(F.col("node").alias("a"), F.col("minima").alias("one")), "a").join(kept.select(F.col("node").alias("b"), F.col("minima").alias("two")), "b")
-    found = connected_components(sided.mapInArrow(_alike_batches(similarity), "a bigint, b bigint"))
+    guessed = written(_with_both(pairs, signed, "minima").mapInArrow(_estimate_batches, "a bigint, b bigint, j double"), "guesses")
+    sure = guessed.where(F.col("j") >= similarity + DOUBT[1]).select("a", "b")
+    doubtful = guessed.where((F.col("j") >= similarity - DOUBT[0]) & (F.col("j") < similarity + DOUBT[1])).select("a", "b")
+    nodes = written(doubtful.select(F.col("a").alias("node")).union(doubtful.select("b")).distinct(), "doubtful")
+    wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
+    sets = written(rows.join(wanted, "node", "left_semi").mapInArrow(_set_batches(words), "node bigint, shingles binary").dropDuplicates(["node"]), "sets")
+    exact = _with_both(doubtful, sets, "shingles").mapInArrow(_exact_batches(similarity), "a bigint, b bigint")
+    found = connected_components(sure.union(exact))
     gone = written(found.where("node <> root").select(F.col("node").alias("__gone")), "gone")
     return docs.join(gone, node == F.col("__gone"), "left_anti").select(*names)
