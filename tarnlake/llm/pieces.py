@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +32,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SHIFT = 10.0
 UNKNOWN = -12.0
 SPACE = "▁"
-#: Texts are taken together up to so many code points; the words kept are counted over so many code points, at most HOT_WORDS.
-TOGETHER, COUNTED, HOT_WORDS = 800_000, 4_000_000, 30_000
+NUL = "\U0010fffe"  # a non-character, stands for a NUL of a text while words are apart
+#: Texts are taken together up to so many code points.
+TOGETHER = 1_500_000
 #: No Gumbel made from 53 random bits exceeds this.
 GUMBEL_MOST = 37.0
 #: The search looks at so many edges of a path at first, and at twice as many while deeper ones could still win.
@@ -174,7 +176,8 @@ class Lattice:
                 h += letters[at : at + n] if length == 1 else letters[who + at]
                 known, ids = vocabulary.find(h)
                 if length == 1:
-                    ids = np.where(ids >= 0, ids, -letters[low : low + n].astype(np.int64))
+                    own = letters[low : low + n].astype(np.int64)  # code points plus 1; below 128 a fallback is one byte piece
+                    ids = np.where(ids >= 0, ids, np.where(own <= 128, vocabulary.byte_ids[np.minimum(own - 1, 127)], -own))
                     w = who
                 else:
                     edge = ids >= 0
@@ -207,15 +210,6 @@ class Lattice:
         begin[by_length] = base[lengths[by_length]] + everyone
         return Lattice(begin, first, to, piece, np.minimum(log, 0.0), upto)
 
-    def joined(self, other: Lattice) -> Lattice:
-        n, m = len(self.first) - 1, len(self.to)
-        return Lattice(
-            np.concatenate((self.begin, other.begin + n)),
-            np.concatenate((self.first, other.first[1:] + m)),
-            np.concatenate((self.to, np.where(other.to >= 0, other.to + n, -1))),
-            *(np.concatenate((getattr(self, f), getattr(other, f))) for f in ("piece", "log", "upto")),
-        )
-
     def walk(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The edge that each uniform number chooses at each node."""
         edge = self.first[node]
@@ -318,60 +312,32 @@ def _sample_text(lattice: Lattice, fresh: list[tuple[np.ndarray, np.ndarray, np.
 
 
 class Sampler:
-    """Samples segmentations of texts; keeps the lattice of the words that are frequent in the first texts it sees."""
+    """Samples segmentations of texts and decodes them; it holds nothing but the vocabulary."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
-        self.hot: Lattice | None = None
-        self.number: dict[str, int] = {}
-        self.often: dict[str, int] = {}
-        self.met = 0
-
-    def _count(self, unique: list[str], index: np.ndarray, size: int) -> None:
-        """Count words until enough text was seen, then keep the lattice of the frequent ones."""
-        counts = np.bincount(index, minlength=len(unique))
-        for i in np.flatnonzero(counts > 1):
-            self.often[unique[i]] = self.often.get(unique[i], 0) + int(counts[i])
-        self.met += size
-        if self.met >= COUNTED:
-            chosen = sorted(self.often, key=lambda w: (-self.often[w], w))[:HOT_WORDS]
-            self.often = {}
-            self.hot, self.number = Lattice.of([SPACE + w for w in chosen], self.vocabulary), {w: i for i, w in enumerate(chosen)}
-
-    def _lattice(self, words: list[str]) -> tuple[np.ndarray, Lattice]:
-        """The index of each word among the begins of the lattice."""
-        if self.hot is None or not self.number:
-            return np.arange(len(words)), Lattice.of([SPACE + w for w in words], self.vocabulary)
-        where = np.fromiter((self.number.get(w, -1) for w in words), np.int64, len(words))
-        new = np.flatnonzero(where < 0)
-        if not len(new):
-            return where, self.hot
-        where[new] = len(self.hot.begin) + np.arange(len(new))
-        return where, self.hot.joined(Lattice.of([SPACE + words[i] for i in new], self.vocabulary))
 
     def sample(self, texts: list[str | None], keys: list[int], k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each text, up to k distinct segmentations in falling order of their perturbed log-probability: (ids,
         log-probability, perturbed, log inclusion).  There are fewer only where the text has fewer segmentations."""
-        words: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            if text:
-                if "  " in text or SPACE in text or text[0] == " " or text[-1] == " ":
-                    found = [c[1:] for c in _RUNS.findall(SPACE + text.replace(" ", SPACE))]
-                else:
-                    found = text.split(" ")
-                counts[i] = len(found)
-                words += found
-        coded = pa.array(words, pa.string()).dictionary_encode()
-        index, unique = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        if self.hot is None and len(words):
-            self._count(unique, index, sum(len(t) for t in texts if t))
-        where, lattice = self._lattice(unique)
-        begin = lattice.begin[where[index]] if len(words) else np.zeros(0, np.int64)
+        apart: list[str | None] = []  # the words of each text, NUL between them
+        for text in texts:
+            if not text:
+                apart.append(None)
+            elif "  " in text or SPACE in text or "\0" in text or text[0] == " " or text[-1] == " ":
+                apart.append("\0".join([c[1:] for c in _RUNS.findall(SPACE + text.replace("\0", NUL).replace(" ", SPACE))]))
+            else:
+                apart.append(text.replace(" ", "\0"))
+        split = pc.split_pattern(pa.array(apart, pa.large_string()), "\0")
+        counts = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        index, unique = coded.indices.to_numpy(), [w.replace(NUL, "\0") for w in coded.dictionary.to_pylist()]
+        lattice = Lattice.of([SPACE + w for w in unique], self.vocabulary)
+        begin = lattice.begin[index]
         starts = np.concatenate(([0], np.cumsum(counts)))
         seeds = np.array(keys, np.uint64)
         seed = np.repeat(seeds, counts)
-        place = (np.arange(len(words)) - np.repeat(starts[:-1], counts)).astype(np.uint64)
+        place = (np.arange(len(index)) - np.repeat(starts[:-1], counts)).astype(np.uint64)
         rounds = [self._fresh(lattice, begin, seed, place, s) for s in range(k)]
         out = []
         for i in range(len(texts)):
