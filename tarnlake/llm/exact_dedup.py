@@ -158,7 +158,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256 (and ``row``, the row's number in this run).
+    """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z only; null text counts as empty, so null and '' are one
     group.  The largest id stays; a null id is below every other.  Of repeated rows with the same id and text exactly one has
