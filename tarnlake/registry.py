@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import catalogue
+from .plans import catalogue, statements
 
-QUERIES = dict(catalogue.QUERIES)
-ORACLES = dict(catalogue.ORACLES)
+QUERIES = {**catalogue.QUERIES, **statements.QUERIES}
+ORACLES = {**catalogue.ORACLES, **statements.ORACLES}
