@@ -221,7 +221,15 @@ def series(spark, sf_dir):
     return both[0].union(both[1])
 
 
-@frame("age", None)
+def _unit(n: str, unit: str) -> str:
+    return f"CASE WHEN {n} <> 0 THEN {n} || ' {unit}' || CASE WHEN {n} = 1 THEN '' ELSE 's' END END"
+
+
+@frame(
+    "age",
+    "SELECT l_orderkey, l_linenumber, coalesce(nullif(concat_ws(' ', " + ", ".join(_unit(f"extract({k} FROM i)", u) for k, u in (("YEAR", "year"), ("MONTH", "mon"), ("DAY", "day"))) + "), ''), '00:00:00') AS age"
+    " FROM (SELECT l_orderkey, l_linenumber, age(l_shipdate, o_orderdate) AS i FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
+)
 def age(spark, sf_dir):
     pairs = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return pairs.select("l_orderkey", "l_linenumber", pg.age(F.col("l_shipdate"), F.col("o_orderdate")).alias("age"))
