@@ -17,8 +17,12 @@ from pyspark.sql import functions as F
 from .common import written
 
 
+#: Nodes that a task contracts at a time.
+NODES = 500_000
+
+
 def _contract_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The edges of one task, replaced by links of every node to the least node of its component within the task."""
+    """The edges of one task, replaced by links of every node to the least node of its component, NODES nodes at a time."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -29,15 +33,21 @@ def _contract_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             parent[x], x = top, parent[x]
         return top
 
+    def links() -> Iterator[pa.RecordBatch]:
+        pairs = [(x, root(x)) for x in list(parent)]
+        out = np.array([x for x in pairs if x[0] != x[1]], dtype=np.int64).reshape(-1, 2)
+        for at in range(0, len(out), 65536):
+            yield pa.RecordBatch.from_arrays([pa.array(out[at : at + 65536, 1]), pa.array(out[at : at + 65536, 0])], ["a", "b"])
+
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             a, b = root(a), root(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    links = [(x, root(x)) for x in list(parent)]
-    out = np.array([x for x in links if x[0] != x[1]], dtype=np.int64).reshape(-1, 2)
-    for at in range(0, len(out), 65536):
-        yield pa.RecordBatch.from_arrays([pa.array(out[at : at + 65536, 1]), pa.array(out[at : at + 65536, 0])], ["a", "b"])
+        if len(parent) >= NODES:
+            yield from links()
+            parent.clear()
+    yield from links()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

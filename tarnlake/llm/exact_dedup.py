@@ -24,6 +24,8 @@ from .common import own_columns, written
 
 SLOTS = 4
 MAX_KICKS = 200
+#: Live digests of one index: a scan hands its index on at so many, and the shuffle has tasks enough for about so many each.
+LIVE_DIGESTS = 500_000
 
 
 class CuckooIndex:
@@ -137,9 +139,28 @@ def _best(a: tuple, b: tuple) -> tuple:
     return a if rank(a) >= rank(b) else b
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _entries(index: CuckooIndex) -> Iterator[pa.RecordBatch]:
+    out: list = []
+    for digest, ((i, row), n) in index.items():
+        out.append((digest, i, row, n))
+        if len(out) == 8192:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), _ENTRY)], schema=_ENTRY)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), _ENTRY)], schema=_ENTRY)
+
+
+def _fold_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _fold(batches, LIVE_DIGESTS)
+
+
+def _fold(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """One entry a digest; with ``most`` the index is handed on and begun anew whenever it holds so many."""
     index = CuckooIndex()
     for batch in batches:
+        if most and len(index) >= most:
+            yield from _entries(index)
+            index = CuckooIndex()
         counts = batch.column("n").to_pylist() if "n" in batch.schema.names else [1] * batch.num_rows
         for digest, i, row, n in zip(batch.column("digest").to_pylist(), batch.column("id").to_pylist(), batch.column("row").to_pylist(), counts):
             seen = index.get(digest)
@@ -147,14 +168,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 index.put(digest, ((i, row), n))
             else:
                 index.put(digest, (_best(seen[0], (i, row)), seen[1] + n))
-    out: list = []
-    for digest, ((i, row), n) in index.items():
-        out.append((digest, i, row, n))
-        if len(out) == 8192:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), _ENTRY)], schema=_ENTRY)
-            out = []
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), _ENTRY)], schema=_ENTRY)
+    yield from _entries(index)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,7 +181,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = own_columns(docs, id=id_col, text=text_col).select(F.col("id").cast("bigint").alias("id"), F.monotonically_increasing_id().alias("row"), "text")
     rows = written(rows.mapInArrow(_digest_batches, "id bigint, row bigint, digest binary"), "digests")
     entry = "digest binary, id bigint, row bigint, n bigint"
-    folded = rows.mapInArrow(_fold, entry).repartition(F.col("digest")).mapInArrow(_fold, entry)
+    parts = -(-rows.count() // LIVE_DIGESTS)  # at least so many tasks, that no index outgrows its own
+    scanned = rows.mapInArrow(_fold_scan, entry)
+    enough = parts <= int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    folded = (scanned.repartition(F.col("digest")) if enough else scanned.repartition(parts, F.col("digest"))).mapInArrow(_fold, entry)
     groups = written(folded.select("digest", F.col("id").alias("keep_id"), F.col("row").alias("keep_row"), F.col("n").alias("group_size")), "groups")
     return rows.join(groups, "digest").select(
         F.col("id").alias("doc_id"),

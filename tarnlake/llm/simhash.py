@@ -152,6 +152,8 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str =
 MINIMA, TRIPLES = 256, 24
 #: How far below and above the wanted similarity an estimate leaves it open; ids of at most so many open rows are broadcast.
 DOUBT, BROADCAST_NODES = (0.2, 0.15), 1_000_000
+#: Rows of a run that are compared with each other at a time.
+BLOCK = 4096
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -201,8 +203,8 @@ def _minima_batches(words: int, masks: list[int]):
     return run
 
 
-def _candidate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (tab, key, node) come sorted: each row of a run is paired with the run's first row and with the row before it."""
+def _run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (tab, key, node) come sorted: each row of a run but the first, with the run's first row and the row before it."""
     last = None  # tab, key, first node, previous node
     for batch in batches:
         tab, key, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
@@ -216,10 +218,42 @@ def _candidate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         first = np.where(start >= 0, node[start], last[2] if last is not None else 0)
         before = np.concatenate(([last[3] if last is not None else 0], node[:-1]))
         last = (tab[-1], key[-1], first[-1], node[-1])
-        a = np.concatenate((first[~new], before[~new]))
-        b = np.concatenate((node[~new], node[~new]))
-        differ = a != b
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[differ]), pa.array(np.maximum(a, b)[differ])], ["a", "b"])
+        kept = ~new & (node != before)
+        yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (tab, key, first, before, node)], ["tab", "key", "first", "before", "node"])
+
+
+def _rest_batches(least: float):
+    """Rows (tab, key, p, q, own, root, node, minima) come sorted by the first four: the pairs of a group that are of different
+    roots and not of one block (but for p = q), if their estimate is at least ``least``.  A group may span batches."""
+
+    def pairs(rows: list[tuple]) -> Iterator[tuple[int, int, float]]:
+        node, root, own = (np.array([r[i] for r in rows], np.int64) for i in (6, 5, 4))
+        prints = np.frombuffer(b"".join([r[7] for r in rows]), np.uint8).reshape(-1, MINIMA)
+        whole = rows[0][2] == rows[0][3]
+        for i in range(len(rows) - 1):
+            wanted = root[i + 1 :] != root[i]
+            if not whole:
+                wanted &= own[i + 1 :] != own[i]
+            at = np.flatnonzero(wanted) + i + 1
+            if len(at):
+                j = (prints[at] == prints[i]).mean(1)
+                for k in np.flatnonzero(j >= least):
+                    yield min(node[i], node[at[k]]), max(node[i], node[at[k]]), j[k]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in _ended(batches):
+            rows = list(zip(*[c.to_pylist() for c in batch.columns])) if batch is not None else [None]
+            found: list[tuple[int, int, float]] = []
+            for row in rows:
+                if held and (row is None or row[:4] != held[0][:4]):
+                    found += pairs(held)
+                    held = []
+                held.append(row)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "j"])
+
+    return run
 
 
 def _estimate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,6 +291,23 @@ def _with_both(pairs: DataFrame, kept: DataFrame, value: str) -> DataFrame:
     return pairs.join(one, "a").join(kept.select(F.col("node").alias("b"), F.col(value).alias("two")), "b").select("a", "b", "one", "two")
 
 
+def _rest_of_runs(met: DataFrame, found: DataFrame, signed: DataFrame, least: float) -> DataFrame:
+    """(a, b, j): the pairs of a run that are in different components of found (node, root), with their estimate j >= least.
+
+    Only runs that span components are looked at.  A run of more than BLOCK rows is dealt into blocks by a hash of the node, and
+    each two blocks meet in a group of their own, so no task holds more than two blocks."""
+    members = met.select("tab", "key", "node").union(met.select("tab", "key", "first")).distinct()
+    rooted = written(members.join(found, "node", "left").select("tab", "key", "node", F.coalesce("root", "node").alias("root")), "members")
+    spans = rooted.groupBy("tab", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"))
+    open_runs = spans.where("lo <> hi").select("tab", "key", F.ceil(F.col("n") / F.lit(BLOCK)).cast("bigint").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    rows = rooted.join(open_runs, ["tab", "key"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    rows = rows.select("tab", "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "root", "node").join(signed.select("node", "minima").dropDuplicates(["node"]), "node")
+    group = ["tab", "key", "p", "q"]
+    dealt = rows.select(*group, "own", "root", "node", "minima").repartition(*group).sortWithinPartitions(*group)
+    return dealt.mapInArrow(_rest_batches(least), "a bigint, b bigint, j double").dropDuplicates(["a", "b"])
+
+
 def drop_near(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of near-duplicate texts, all columns kept.
 
@@ -266,6 +317,10 @@ def drop_near(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius:
     resemblance is estimated over MINIMA minima; where that is within DOUBT of ``similarity`` the two sets of shingles are
     fetched and compared.  Groups are the connected components of the links.
 
+    Of a run of rows that meet, the first look takes each with the run's first row and with the row before it, which joins most
+    groups in a number of pairs that is linear in the rows.  Then every pair of a run that is still in different components
+    is looked at, so none of those that meet goes unjudged.
+
     Texts without words are alike.  Rows with equal id and text go or stay together (drop exact copies first); the row
     that stays in a group is the one with the least hash.  Null ids are hashed like any other, and an empty table stays empty.
     """
@@ -275,15 +330,22 @@ def drop_near(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius:
     rows = own_columns(docs, id=id_col, text=text_col).select(F.xxhash64(F.col("id").cast("bigint"), F.coalesce("text", F.lit(""))).alias("node"), "text")
     signed = written(rows.mapInArrow(_minima_batches(words, masks), "node bigint, minima binary, keys array<bigint>"), "minima")
     tables = signed.select("node", F.posexplode("keys").alias("tab", "key")).select(F.col("tab").cast("bigint").alias("tab"), "key", "node")
-    met = tables.repartition("tab", "key").sortWithinPartitions("tab", "key", "node").mapInArrow(_candidate_batches, "a bigint, b bigint")
-    pairs = written(met.distinct(), "pairs")
+    met = tables.repartition("tab", "key").sortWithinPartitions("tab", "key", "node").mapInArrow(_run_batches, "tab bigint, key bigint, first bigint, before bigint, node bigint")
+    met = written(met, "runs")
+    pairs = written(met.select(F.col("first").alias("a"), F.col("node").alias("b")).union(met.select("before", "node")).distinct(), "pairs")
     guessed = written(_with_both(pairs, signed, "minima").mapInArrow(_estimate_batches, "a bigint, b bigint, j double"), "guesses")
-    sure = guessed.where(F.col("j") >= similarity + DOUBT[1]).select("a", "b")
-    doubtful = guessed.where((F.col("j") >= similarity - DOUBT[0]) & (F.col("j") < similarity + DOUBT[1])).select("a", "b")
-    nodes = written(doubtful.select(F.col("a").alias("node")).union(doubtful.select("b")).distinct(), "doubtful")
-    wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
-    sets = written(rows.join(wanted, "node", "left_semi").mapInArrow(_set_batches(words), "node bigint, shingles binary").dropDuplicates(["node"]), "sets")
-    exact = _with_both(doubtful, sets, "shingles").mapInArrow(_exact_batches(similarity), "a bigint, b bigint")
-    found = connected_components(sure.union(exact))
+
+    def links(guesses: DataFrame) -> DataFrame:
+        sure = guesses.where(F.col("j") >= similarity + DOUBT[1]).select("a", "b")
+        doubtful = guesses.where((F.col("j") >= similarity - DOUBT[0]) & (F.col("j") < similarity + DOUBT[1])).select("a", "b")
+        nodes = written(doubtful.select(F.col("a").alias("node")).union(doubtful.select("b")).distinct(), "doubtful")
+        wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
+        sets = written(rows.join(wanted, "node", "left_semi").mapInArrow(_set_batches(words), "node bigint, shingles binary").dropDuplicates(["node"]), "sets")
+        return sure.union(_with_both(doubtful, sets, "shingles").mapInArrow(_exact_batches(similarity), "a bigint, b bigint"))
+
+    found = connected_components(links(guessed))
+    rest = written(_rest_of_runs(met, found, signed, similarity - DOUBT[0]).join(pairs, ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        found = connected_components(links(rest).union(found.where("node <> root")))
     gone = written(found.where("node <> root").select(F.col("node").alias("__gone")), "gone")
     return docs.join(gone, node == F.col("__gone"), "left_anti").select(*names)

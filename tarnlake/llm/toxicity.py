@@ -217,13 +217,13 @@ def _contexts(wanted: set[str] | None):
 
 
 def _sample(docs: DataFrame, labels: DataFrame, seed: int) -> DataFrame:
-    """(text, toxic) of the sample, each distinct text once."""
+    """(text, toxic) of the sample, each distinct text once; toxic if any of its rows is."""
     marks = labels.where("toxic in (0, 1)").groupBy("id").agg(F.max("toxic").alias("toxic"))
     counts = {r.toxic: r["count"] for r in marks.groupBy("toxic").count().collect()}
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, TOXIC_ROWS / max(1, counts.get(1, 0))))).otherwise(F.lit(min(1.0, OTHER_ROWS / max(1, counts.get(0, 0)))))
     chance = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) / F.lit(1_000_000.0)
     chosen = marks.where(chance < share).limit(2 * (TOXIC_ROWS + OTHER_ROWS))
-    return docs.join(F.broadcast(chosen), "id").where("text is not null").dropDuplicates(["text"]).select("text", "toxic")
+    return docs.join(F.broadcast(chosen), "id").where("text is not null").groupBy("text").agg(F.max("toxic").alias("toxic"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> Model:

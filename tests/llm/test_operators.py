@@ -5,12 +5,13 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from compare import connection, differences, rows as cells
 from pyspark.sql import functions as F
 
-from tarnlake.llm import exact_dedup, fingerprints, html_text, langid, mixing, pieces, queries, quotations, sharding, simhash, toxicity
+from tarnlake.llm import components, exact_dedup, fingerprints, html_text, langid, mixing, pieces, queries, quotations, sharding, simhash, toxicity
 from tarnlake.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -97,6 +98,15 @@ def test_cuckoo_index_inserts_deletes_and_grows():
     assert all((k in index) == (k in truth) and index.get(k) == truth.get(k) for k in keys)
 
 
+def test_an_index_handed_on_in_parts_folds_to_the_same_groups():
+    rows = [(hashlib.sha256(str(i % 37).encode()).digest(), i, i) for i in range(500)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 7])], ["digest", "id", "row"]) for i in range(0, 500, 7)]
+    parts = list(exact_dedup._fold(iter(batches), 5))
+    assert sum(b.num_rows for b in parts) > 37
+    whole = lambda found: sorted(r for b in found for r in zip(*b.to_pydict().values()))
+    assert whole(exact_dedup._fold(iter(parts))) == whole(exact_dedup._fold(iter(batches)))
+
+
 def test_exact_dedup_awkward(awkward, nothing):
     got = exact_dedup.exact_dedup(awkward).collect()
     by = collections.defaultdict(list)
@@ -310,6 +320,60 @@ def test_components_of_chains_and_hubs(spark):
     assert connected_components(df.where("false")).count() == 0
 
 
+def test_contraction_in_parts_keeps_the_components(monkeypatch):
+    monkeypatch.setattr(components, "NODES", 10)
+    edges = [(i, i + 2) for i in range(100)] + [(7, 300), (300, 301)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*edges[i : i + 5])], ["a", "b"]) for i in range(0, len(edges), 5)]
+    links = [(a, b) for batch in components._contract_here(iter(batches)) for a, b in zip(*batch.to_pydict().values())]
+    parts = lambda pairs: {frozenset(c) for c in merged_groups(pairs)}
+    assert parts(links) == parts(edges)
+
+
+def merged_groups(pairs):
+    groups = []
+    for pair in pairs:
+        hit = [g for g in groups if g & set(pair)]
+        groups = [g for g in groups if g not in hit] + [set(pair).union(*hit)]
+    return groups
+
+
+@pytest.mark.parametrize("block", [2, 3, 4096])
+def test_rest_of_runs_finds_every_pair_across_components(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, (4, simhash.MINIMA)).astype(np.uint8)
+    prints = {n: base[n % 4] for n in range(24)}
+    near = base[0].copy()
+    near[:100] ^= 1  # its estimate is (256 - 100) / 256, above 0.6
+    prints[24] = near
+    signed = spark.createDataFrame([(n, bytearray(m.tobytes())) for n, m in prints.items()], "node bigint, minima binary")
+    met = spark.createDataFrame([(0, 5, 0, n - 1, n) for n in range(1, 25)] + [(1, 9, 0, 0, 4)], "tab bigint, key bigint, first bigint, before bigint, node bigint")
+    root = {n: 0 if n in (0, 4, 8) else n for n in range(25)}
+    found = spark.createDataFrame([(n, 0) for n in (0, 4, 8)], "node bigint, root bigint")
+    got = [(r.a, r.b) for r in simhash._rest_of_runs(met, found, signed, 0.6).collect()]
+    alike = lambda a, b: (prints[a] == prints[b]).mean() >= 0.6
+    assert sorted(got) == [(a, b) for a, b in itertools.combinations(range(25), 2) if root[a] != root[b] and alike(a, b)]
+
+
+def test_drop_near_against_brute_force_on_shared_passages(spark):
+    """Groups that share a long passage meet in the same tables; each pair at 0.8 must be settled, and no other row may go."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(4000)]
+    passage, rows = rng.choices(words, k=60), []
+    for _ in range(30):
+        base = passage + rng.choices(words, k=25)
+        for copy in range(3):
+            text = list(base)
+            for _ in range(copy):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            rows.append((len(rows), " ".join(text)))
+    sets = [{" ".join(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    groups = merged_groups([*pairs, *((i, i) for i in range(len(rows)))])
+    kept = {r.doc_id for r in simhash.drop_near(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    assert len(pairs) > 30 and all(len(g & kept) == 1 for g in groups)
+
+
 def test_drop_near_keeps_one_of_each_group(spark, awkward, nothing):
     rng = random.Random(6)
     words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(3000)]
