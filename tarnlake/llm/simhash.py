@@ -150,8 +150,10 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str =
 
 #: drop_near: minima a text (one byte each is kept for the estimate), and tables keyed by three of them.
 MINIMA, TRIPLES = 256, 24
-#: How far below and above the wanted similarity an estimate leaves it open; ids of at most so many open rows are broadcast.
-DOUBT, BROADCAST_NODES = (0.2, 0.15), 1_000_000
+#: Only pairs of which both texts have so many distinct shingles may be put aside by their estimate.
+SHORT = 300
+#: How far below the wanted similarity an estimate puts a pair aside; ids of at most so many open rows are broadcast.
+DOUBT, BROADCAST_NODES = 0.2, 1_000_000
 #: Rows of a run that are compared with each other at a time.
 BLOCK = 4096
 
@@ -171,34 +173,39 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(mixed * np.uint64(0x9E3779B97F4A7C15))
 
 
-def minima(text: str | None, words: int) -> np.ndarray:
-    """MINIMA uint64 least hashes of the distinct word shingles, one a slice of the hash range; an empty slice borrows
-    from the next one that isn't.  All zero for a text without words."""
-    found = shingle_set(text, words)
-    if not len(found):
-        return np.zeros(MINIMA, np.uint64)
-    at = np.searchsorted(found, np.arange(MINIMA, dtype=np.uint64) << np.uint64(56))
-    own = np.zeros(MINIMA, bool)
-    own[(found >> np.uint64(56)).astype(np.int64)] = True
-    # the first hash at or after a slice's start is the next slice's minimum where the slice is empty
-    values = found[at % len(found)]
-    lent = np.where(own, 0, (found[at % len(found)] >> np.uint64(56)).astype(np.int64) + 1).astype(np.uint64)
-    return values ^ (lent * np.uint64(0xA0761D6478BD642F))
+_XORED, _TIMES = np.random.default_rng(SEED).integers(0, 1 << 32, (2, MINIMA, 1), np.uint32) | np.array([[[0]], [[1]]], np.uint32)
+
+
+def minima(shingles: np.ndarray) -> np.ndarray:
+    """MINIMA uint32 least hashes of a set of shingles, each by a hash function of its own over the whole set, so that each agrees
+    with another set's with a chance equal to their resemblance whatever their sizes.  All zero for an empty set."""
+    if not len(shingles):
+        return np.zeros(MINIMA, np.uint32)
+    short = (shingles >> np.uint64(32)).astype(np.uint32)
+    least = np.full(MINIMA, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(short), 1024):
+        mixed = (short[at : at + 1024] ^ _XORED) * _TIMES
+        mixed ^= mixed >> np.uint32(15)
+        mixed *= np.uint32(0x846CA68B)
+        np.minimum(least, mixed.min(1), out=least)
+    return least
 
 
 def _minima_batches(words: int, masks: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, keys = [], []
+            kept, keys, sizes = [], [], []
             for t in batch.column("text"):
                 text = t.as_py()
-                m = minima(text, words)
+                shingles = shingle_set(text, words)
+                sizes.append(len(shingles))
+                m = minima(shingles).astype(np.uint64)
                 kept.append(((m * np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(56)).astype(np.uint8).tobytes())
                 triples = m[: 3 * TRIPLES].reshape(TRIPLES, 3)
                 mixed = (triples[:, 0] * np.uint64(3) ^ triples[:, 1]) * np.uint64(0x94D049BB133111EB) ^ triples[:, 2] * np.uint64(0xBF58476D1CE4E5B9)
                 print_ = fingerprint(text, words)
                 keys.append([*mixed.view(np.int64).tolist(), *(_signed(print_ & mask) for mask in masks)])
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(kept, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["node", "minima", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(kept, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["node", "minima", "keys", "size"])
 
     return run
 
@@ -256,11 +263,69 @@ def _rest_batches(least: float):
     return run
 
 
-def _estimate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, MINIMA) for c in ("one", "two"))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((one == two).mean(1))], ["a", "b", "j"])
+def _settle_batches(similarity: float):
+    """Rows (tab, key, p, q, own, root, node, shingles) come sorted by the first four: a chain of links (a, b) through the components
+    that the pairs of a group make which have a text of fewer than SHORT shingles, are not of one block (but for p = q), and are alike
+    by their sets.  A group may span batches."""
+
+    def chain(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        rows.sort(key=lambda r: len(r[7]))
+        own, root, node = (np.array([r[i] for r in rows], np.int64) for i in (4, 5, 6))
+        sizes = np.array([len(r[7]) // 4 for r in rows], np.int64)
+        ids = np.unique(np.frombuffer(b"".join([r[7] for r in rows]), "<u4"), return_inverse=True)[1]
+        starts = np.concatenate(([0], np.cumsum(sizes)))
+        whole, mark = rows[0][2] == rows[0][3], np.zeros(len(ids) + 1, np.int32)
+        for i in range(len(rows) - 1):
+            if sizes[i] >= SHORT:
+                break
+            # a larger set than this can't be alike, and no smaller one follows
+            stop = int(np.searchsorted(sizes, int(sizes[i] / similarity + 1e-6), "right"))
+            wanted = root[i + 1 : stop] != root[i]
+            if not whole:
+                wanted &= own[i + 1 : stop] != own[i]
+            if not wanted.any():
+                continue
+            shared = np.zeros(stop - i - 1, np.int64)
+            if sizes[i]:
+                mine, at = ids[starts[i] : starts[i + 1]], starts[i + 1]
+                mark[mine] = 1
+                shared = np.add.reduceat(mark[ids[at : starts[stop]]], starts[i + 1 : stop] - at)
+                mark[mine] = 0
+            for k in np.flatnonzero(wanted & (shared >= similarity * (sizes[i] + sizes[i + 1 : stop] - shared))) + i + 1:
+                if root[k] != root[i]:
+                    yield node[i], node[k]
+                    root[root == root[k]] = root[i]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in _ended(batches):
+            rows = list(zip(*[c.to_pylist() for c in batch.columns])) if batch is not None else [None]
+            found: list[tuple[int, int]] = []
+            for row in rows:
+                if held and (row is None or row[:4] != held[0][:4]):
+                    found += chain(held)
+                    held = []
+                held.append(row)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+
+    return run
+
+
+def _open_batches(similarity: float):
+    """The pairs (a, b) that may be alike: by their sizes, and those without a text of fewer than SHORT shingles by their estimate."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                one, two = batch.column("one"), batch.column("two")
+                x, y = (np.frombuffer(b"".join(c.field("minima").to_pylist()), np.uint8).reshape(-1, MINIMA) for c in (one, two))
+                n, m = (c.field("size").to_numpy(zero_copy_only=False) for c in (one, two))
+                less, more = np.minimum(n, m), np.maximum(n, m)
+                kept = (less >= similarity * more) & ((less < SHORT) | ((x == y).mean(1) >= similarity - DOUBT))
+                yield batch.select(["a", "b"]).filter(pa.array(kept))
+
+    return run
 
 
 def _set_batches(words: int):
@@ -291,21 +356,36 @@ def _with_both(pairs: DataFrame, kept: DataFrame, value: str) -> DataFrame:
     return pairs.join(one, "a").join(kept.select(F.col("node").alias("b"), F.col(value).alias("two")), "b").select("a", "b", "one", "two")
 
 
-def _rest_of_runs(met: DataFrame, found: DataFrame, signed: DataFrame, least: float) -> DataFrame:
-    """(a, b, j): the pairs of a run that are in different components of found (node, root), with their estimate j >= least.
-
-    Only runs that span components are looked at.  A run of more than BLOCK rows is dealt into blocks by a hash of the node, and
-    each two blocks meet in a group of their own, so no task holds more than two blocks."""
+def _open_runs(met: DataFrame, found: DataFrame) -> DataFrame:
+    """(tab, key, node, root, blocks): the members of the runs that span components of found (node, root) and have pairs besides
+    those of the first look, one run of each set of members."""
     members = met.select("tab", "key", "node").union(met.select("tab", "key", "first")).distinct()
     rooted = written(members.join(found, "node", "left").select("tab", "key", "node", F.coalesce("root", "node").alias("root")), "members")
-    spans = rooted.groupBy("tab", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"))
-    open_runs = spans.where("lo <> hi").select("tab", "key", F.ceil(F.col("n") / F.lit(BLOCK)).cast("bigint").alias("blocks"))
+    same = [F.sum(F.col("node").bitwiseAND(F.lit(0xFFFFFFFF))).alias("x"), F.sum(F.shiftrightunsigned("node", 32)).alias("y"), F.min("node").alias("least")]
+    spans = rooted.groupBy("tab", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), *same)
+    open_runs = spans.where("lo <> hi and n > 3").groupBy("n", "x", "y", "least").agg(F.min(F.struct("tab", "key")).alias("run"))
+    open_runs = open_runs.select("run.tab", "run.key", F.ceil(F.col("n") / F.lit(BLOCK)).cast("bigint").alias("blocks"))
+    return written(rooted.join(open_runs, ["tab", "key"]), "open")
+
+
+def _dealt(opened: DataFrame, kept: DataFrame, value: str) -> DataFrame:
+    """The members of open runs with the value that kept (node, value) has of them, sorted by group (tab, key, p, q).
+
+    A run of more than BLOCK rows is dealt into blocks by a hash of the node, and each two blocks meet in a group of their own, so
+    no task holds more than two blocks."""
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    rows = rooted.join(open_runs, ["tab", "key"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    rows = rows.select("tab", "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "root", "node").join(signed.select("node", "minima").dropDuplicates(["node"]), "node")
+    rows = opened.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    rows = rows.select("tab", "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "root", "node")
     group = ["tab", "key", "p", "q"]
-    dealt = rows.select(*group, "own", "root", "node", "minima").repartition(*group).sortWithinPartitions(*group)
-    return dealt.mapInArrow(_rest_batches(least), "a bigint, b bigint, j double").dropDuplicates(["a", "b"])
+    rows = rows.join(kept.select("node", value).dropDuplicates(["node"]), "node").select(*group, "own", "root", "node", value)
+    return rows.repartition(*group).sortWithinPartitions(*group)
+
+
+def _rest_of_runs(met: DataFrame, found: DataFrame, signed: DataFrame, least: float, opened: DataFrame | None = None) -> DataFrame:
+    """(a, b, j): the pairs of a run that are in different components of found (node, root), with their estimate j >= least; opened
+    is what _open_runs gives of the first two, if it's known."""
+    rows = _dealt(_open_runs(met, found) if opened is None else opened, signed, "minima")
+    return rows.mapInArrow(_rest_batches(least), "a bigint, b bigint, j double").dropDuplicates(["a", "b"])
 
 
 def drop_near(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -313,13 +393,15 @@ def drop_near(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius:
 
     A resemblance of 0.8 on word shingles leaves some ten of 64 SimHash bits different, and covering tables of that radius number
     2^11 - 1.  So besides the covering tables of the text's SimHash there are TRIPLES tables keyed by three minima of
-    its shingles, of which a pair at 0.8 misses all with a chance below 1e-7.  Of rows that meet in a table the
-    resemblance is estimated over MINIMA minima; where that is within DOUBT of ``similarity`` the two sets of shingles are
-    fetched and compared.  Groups are the connected components of the links.
+    its shingles, each minimum by a hash of its own, of which a pair at 0.8 misses all with a chance below 1e-7 whatever its length.
+    Rows that meet in a table link if their sets of shingles are alike; no pair links by an estimate.  The sets of two texts of SHORT
+    shingles or more are compared only if their estimate over MINIMA minima is at most DOUBT below ``similarity``, which a pair at 0.8
+    misses with a chance below 1e-11.
 
     Of a run of rows that meet, the first look takes each with the run's first row and with the row before it, which joins most
     groups in a number of pairs that is linear in the rows.  Then every pair of a run that is still in different components
-    is looked at, so none of those that meet goes unjudged.
+    is looked at, so none of those that meet goes unjudged.  Pairs with a text of fewer than SHORT shingles are settled where they
+    meet, and only a chain of their links is handed on.
 
     Texts without words are alike.  Rows with equal id and text go or stay together (drop exact copies first); the row
     that stays in a group is the one with the least hash.  Null ids are hashed like any other, and an empty table stays empty.
@@ -328,24 +410,30 @@ def drop_near(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius:
     node = F.xxhash64(F.col(id_col).cast("bigint"), F.coalesce(F.col(text_col), F.lit("")))
     masks = covering_masks(radius)
     rows = own_columns(docs, id=id_col, text=text_col).select(F.xxhash64(F.col("id").cast("bigint"), F.coalesce("text", F.lit(""))).alias("node"), "text")
-    signed = written(rows.mapInArrow(_minima_batches(words, masks), "node bigint, minima binary, keys array<bigint>"), "minima")
+    signed = written(rows.mapInArrow(_minima_batches(words, masks), "node bigint, minima binary, keys array<bigint>, size bigint"), "minima")
     tables = signed.select("node", F.posexplode("keys").alias("tab", "key")).select(F.col("tab").cast("bigint").alias("tab"), "key", "node")
     met = tables.repartition("tab", "key").sortWithinPartitions("tab", "key", "node").mapInArrow(_run_batches, "tab bigint, key bigint, first bigint, before bigint, node bigint")
     met = written(met, "runs")
     pairs = written(met.select(F.col("first").alias("a"), F.col("node").alias("b")).union(met.select("before", "node")).distinct(), "pairs")
-    guessed = written(_with_both(pairs, signed, "minima").mapInArrow(_estimate_batches, "a bigint, b bigint, j double"), "guesses")
+    sketches = signed.select("node", F.struct("minima", "size").alias("sketch"))
+    likely = written(_with_both(pairs, sketches, "sketch").mapInArrow(_open_batches(similarity), "a bigint, b bigint"), "likely")
 
-    def links(guesses: DataFrame) -> DataFrame:
-        sure = guesses.where(F.col("j") >= similarity + DOUBT[1]).select("a", "b")
-        doubtful = guesses.where((F.col("j") >= similarity - DOUBT[0]) & (F.col("j") < similarity + DOUBT[1])).select("a", "b")
-        nodes = written(doubtful.select(F.col("a").alias("node")).union(doubtful.select("b")).distinct(), "doubtful")
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        nodes = written(nodes.distinct(), "doubtful")
         wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
-        sets = written(rows.join(wanted, "node", "left_semi").mapInArrow(_set_batches(words), "node bigint, shingles binary").dropDuplicates(["node"]), "sets")
-        return sure.union(_with_both(doubtful, sets, "shingles").mapInArrow(_exact_batches(similarity), "a bigint, b bigint"))
-
-    found = connected_components(links(guessed))
-    rest = written(_rest_of_runs(met, found, signed, similarity - DOUBT[0]).join(pairs, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        found = connected_components(links(rest).union(found.where("node <> root")))
+        return written(rows.join(wanted, "node", "left_semi").mapInArrow(_set_batches(words), "node bigint, shingles binary").dropDuplicates(["node"]), "sets")
+
+    def links(open_pairs: DataFrame) -> DataFrame:
+        sets = sets_of(open_pairs.select(F.col("a").alias("node")).union(open_pairs.select("b")))
+        return _with_both(open_pairs, sets, "shingles").mapInArrow(_exact_batches(similarity), "a bigint, b bigint")
+
+    found = connected_components(links(likely))
+    opened = _open_runs(met, found)
+    short = sets_of(opened.select("node").join(signed.where(F.col("size") <= SHORT / similarity).select("node"), "node", "left_semi"))
+    settled = written(_dealt(opened, short, "shingles").mapInArrow(_settle_batches(similarity), "a bigint, b bigint"), "settled")
+    rest = _rest_of_runs(met, found, signed.where(F.col("size") >= SHORT), similarity - DOUBT, opened)
+    rest = written(rest.select("a", "b").join(pairs, ["a", "b"], "left_anti"), "rest")
+    more = settled if rest.isEmpty() else settled.union(links(rest))
+    found = connected_components(more.union(found.where("node <> root")))
     gone = written(found.where("node <> root").select(F.col("node").alias("__gone")), "gone")
     return docs.join(gone, node == F.col("__gone"), "left_anti").select(*names)

@@ -394,6 +394,44 @@ def test_drop_near_keeps_one_of_each_group(spark, awkward, nothing):
     assert simhash.drop_near(nothing).count() == 0
 
 
+def test_drop_near_against_brute_force_on_short_texts(spark):
+    """Texts of 5 to 40 words have 1 to 36 shingles: an estimate must not put their pairs aside, nor a table miss them."""
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(4000)]
+    rows = []
+    for g in range(400):
+        base = rng.choices(words, k=5 + g % 36)
+        rows.append((len(rows), " ".join(base)))
+        for extra in {0, 1, (len(base) - 4) // 4}:  # n shingles of n + extra are at 0.8 or more up to a quarter of n
+            rows.append((len(rows), "  ".join(base + rng.choices(words, k=extra))))
+    sets = [{" ".join(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    by = collections.defaultdict(set)
+    for i, s in enumerate(sets):
+        for x in s:
+            by[x].add(i)
+    met = {(a, b) for group in by.values() for a, b in itertools.combinations(sorted(group), 2)}
+    pairs = [(a, b) for a, b in met if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    groups = merged_groups([*pairs, *((i, i) for i in range(len(rows)))])
+    kept = {r.doc_id for r in simhash.drop_near(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    assert len(pairs) > 400 and [len(g & kept) for g in groups] == [1] * len(groups)
+
+
+@pytest.mark.parametrize("block", [3, 4096])
+def test_a_run_of_short_texts_is_settled_where_it_meets(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(13)
+    sets = {n: set(rng.sample(range(40), rng.randint(20, 34))) for n in range(30)} | {30: set(), 31: set()}
+    rows = [(n, bytearray(np.array(sorted(s), "<u4").tobytes())) for n, s in sets.items()]
+    kept = spark.createDataFrame(rows, "node bigint, shingles binary")
+    met = spark.createDataFrame([(0, 5, 0, n - 1, n) for n in range(1, 32)], "tab bigint, key bigint, first bigint, before bigint, node bigint")
+    found = spark.createDataFrame([(4, 3), (5, 3)], "node bigint, root bigint")
+    dealt = simhash._dealt(simhash._open_runs(met, found), kept, "shingles")
+    got = [(r.a, r.b) for r in dealt.mapInArrow(simhash._settle_batches(0.7), "a bigint, b bigint").collect()]
+    alike = [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b])]
+    joined = lambda links: {frozenset(g) for g in merged_groups([*links, (3, 4), (3, 5)])}
+    assert joined(got) == joined(alike) and set(map(tuple, map(sorted, got))) <= set(alike)
+
+
 # -- op8 ----------------------------------------------------------------------------------------------------------
 
 
