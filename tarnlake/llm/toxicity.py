@@ -161,7 +161,7 @@ class Model:
             if (at and low[at - 1].isalnum()) or (not stem and end + 1 < size and low[end + 1].isalnum()) or at < done:
                 continue
             begin = done if done > 0 else 0
-            for m in CLAUSE.finditer(low, max(begin, at - 400), at):
+            for m in CLAUSE.finditer(low, begin, at):  # clauses end behind their match, so each stretch is read once
                 begin = m.end()
             stop = CLAUSE.search(low, end)
             done = stop.start() if stop else size

@@ -234,6 +234,14 @@ def test_grammar_marks_matches():
     assert m.clauses("") == []
 
 
+def test_a_clause_starts_at_the_punctuation_however_far_back():
+    m = toxicity.Model({"idiot": 1.0}, np.zeros(4))
+    far = "word " * 200
+    assert m.clauses(f"he said so. {far}idiot") == [1.0]
+    assert m.clauses(f"you were here. {far}kill") == [] and m.clauses(f"{far}you {far}idiot") == [1.25]
+    assert m.clauses(f"idiot, he said so. {far}idiot") == [1.0, 1.0]
+
+
 def test_toxicity_held_out(spark, awkward, nothing):
     base = "/root/testdata/check_s"
     docs = spark.read.parquet(f"{base}/documents.parquet").where("doc_id < 12000")
