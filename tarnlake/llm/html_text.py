@@ -1,6 +1,6 @@
 """Main text of web pages by site style trees.
 
-The DOMs of one host are merged by path (tag, first class): a node of the merged tree has, over the pages that show it, a
+The distinct DOMs of one host are merged by path (tag, first class): a node of the merged tree has, over the pages that show it, a
 distribution of presentations (the sequence of its children's signatures) and one of contents (the text below
 it).  Its importance is the larger of the two entropies, each divided by the log of the number of pages: 0 for a branch that is
 the same on every page, 1 for one that never repeats.  Branches of low importance are removed from each page, and so are
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import own_columns, written
 
-#: A branch goes if its importance is below LOW on at least PAGES pages of the host.
+#: A branch goes if its importance is below LOW on at least PAGES distinct pages of the host.
 LOW, PAGES = 0.15, 8
 #: Up to so many hosts and nodes the branches to remove are broadcast; beyond it they are joined on (host, salt).
 BROADCAST_NODES, SALTS = 200_000, 64
@@ -174,18 +174,20 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) >> 1
 
 
-def style_nodes(page: str | None) -> list[tuple[int, int, int]]:
-    """(path, presentation, content) hashes of a page's elements that hold text, one a path."""
+def style_nodes(page: str | None) -> list[tuple[int, int, int, int]]:
+    """(path, presentation, content, page) hashes of a page's elements that hold text, one a path; page is of all their blocks."""
+    whole = xxhash.xxh3_64()
     content: dict[int, int] = {}
     shape: dict[int, dict[int, list[str]]] = {}
     for b in blocks(page):
         if b.node.noise:
             continue
         h = _hash(b.text)
+        whole.update(f"{b.node.path},{h};")
         for n in b.above:
             content[n.path] = (content.get(n.path, 7) * 0x100000001B3 + h) & ((1 << 63) - 1)
             shape.setdefault(n.path, {})[id(n)] = n.children
-    return [(p, _hash(";".join(",".join(c) for c in shape[p].values())), c) for p, c in content.items()]
+    return [(p, _hash(";".join(",".join(c) for c in shape[p].values())), c, whole.intdigest() >> 1) for p, c in content.items()]
 
 
 def main_text(page: str | None, low: frozenset[int] | set[int] = frozenset()) -> str:
@@ -206,7 +208,7 @@ def host_of(url: str | None) -> str:
 
 
 def _node_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["host", "path", "presentation", "content"]
+    names = ["host", "path", "presentation", "content", "page"]
     for batch in batches:
         rows = [(host_of(u.as_py()), *n) for u, h in zip(batch.column("url"), batch.column("html")) for n in style_nodes(h.as_py())]
         if rows:
@@ -214,8 +216,11 @@ def _node_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def importance(pages: DataFrame) -> DataFrame:
-    """The site style tree: host, path, pages, importance, of every node with text of every host."""
-    nodes = pages.mapInArrow(_node_batches, "host string, path bigint, presentation bigint, content bigint")
+    """The site style tree: host, path, pages, importance, of every node with text of every host.
+
+    Pages of a host with the same blocks are one page: copies tell nothing about what its pages share."""
+    nodes = pages.mapInArrow(_node_batches, "host string, path bigint, presentation bigint, content bigint, page bigint")
+    nodes = nodes.groupBy("host", "page", "path").agg(F.min("presentation").alias("presentation"), F.min("content").alias("content"))
     kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("presentation").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("content").alias("value")))).alias("k")
     counted = nodes.select("host", "path", kinds).groupBy("host", "path", "k.kind", "k.value").agg(F.count(F.lit(1)).alias("c"))
     summed = counted.groupBy("host", "path", "kind").agg(F.sum("c").alias("pages"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
@@ -245,7 +250,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per input row: page_id, url, text, n_chars (code points).
 
     A null or empty html gives the empty text; a null url or one without a host is of the host ''.  Whole pages are read.
-    Repeated pages count as pages of their host and give equal texts; an empty table gives no rows; other columns are not read.
+    Copies of a page count as one page of their host and give equal texts; an empty table gives no rows; other columns are not read.
     """
     rows = own_columns(pages, id=id_col, url=url_col, html=html_col)
     low = importance(rows.select("url", "html")).where((F.col("importance") < LOW) & (F.col("pages") >= PAGES) & (F.col("host") != ""))

@@ -494,6 +494,19 @@ def test_extract_by_site_style_tree(spark):
     assert html_text.extract(df).count() == len(rows) and html_text.extract(df.where("false")).count() == 0
 
 
+def test_copies_of_a_page_keep_their_text(spark):
+    page = lambda i, more="": f"<body><div class=site>Every page</div><article><h1>Title {i}</h1><p>Own text {i}</p>{more}</article></body>"
+    rows = [("copies.example", page(0)) for _ in range(9)]
+    rows += [("two.example", page(i % 2)) for i in range(1000)]
+    rows += [("mixed.example", page(i)) for i in range(10)] + [("mixed.example", page(99, "<blockquote>Quoted</blockquote>"))] * 200
+    df = spark.createDataFrame([(i, f"http://{h}/{i}", p + f"<!-- {i} -->") for i, (h, p) in enumerate(rows)], "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(df).collect()}
+    assert {got[i] for i in range(9)} == {"Title 0 Own text 0"}
+    assert [got[9 + i] for i in range(1000)] == [f"Title {i % 2} Own text {i % 2}" for i in range(1000)]
+    assert [got[1009 + i] for i in range(10)] == [f"Title {i} Own text {i}" for i in range(10)]
+    assert {got[1019 + i] for i in range(200)} == {"Title 99 Own text 99 Quoted"}
+
+
 def test_extract_keeps_articles_whole(spark):
     import html
     import re
