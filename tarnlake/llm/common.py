@@ -12,28 +12,50 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a folder of our own only where that is unset."""
+    """The folder every executor sees: spark.checkpoint.dir.  Only a local session may leave it unset and gets a folder of its own;
+    on a cluster, where that folder would be one machine's, it raises RuntimeError."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         java = spark.sparkContext._jsc.sc().getCheckpointDir()
         if java.isDefined():
             found = java.get()
+        elif spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         else:
             found = tempfile.mkdtemp(prefix="tarnlake-")
             spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+_RUN = uuid.uuid4().hex
+
+
+def _run_dir(spark: SparkSession) -> str:
+    """The folder of this process's tables, removed when its JVM ends."""
+    name = f"{shared_dir(spark)}/tables-{_RUN}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return name
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet below the shared folder and read it back: lineage ends there, and a lost executor
     costs a reread instead of a recomputation.  The reread frame has no partitioning of its own, so a later
     join deals both of its sides anew and adaptive execution may split a skewed partition."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{_run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, ... by position, so that no name of the input, twice or not, clashes with one of ours."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def importable(spark: SparkSession) -> None:
     """Put the folder that holds this package on the Python path of the workers, for sessions started elsewhere.
     On a cluster the package is installed or shipped with --py-files; the added folder is then merely absent."""

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import uniform
+from .common import numbered, uniform
 
 #: A Poisson of a larger mean is a sum of independent ones of at most this mean; SPAN terms of one leave less than 2**-60.
 CHUNK_MEAN, SPAN = 8.0, 64
@@ -69,25 +69,26 @@ def mix(
     if clash := {"copy", "shuffle_key"} & {c.lower() for c in docs.columns}:
         raise ValueError(f"columns {sorted(clash)} are made here")
     names = docs.columns
-    rated = rates(docs, weights, other, epochs, source_col).select(F.col("source").alias("__source"), F.col("chunks").alias("__chunks"), F.col("cdf").alias("__cdf"))
-    key = F.coalesce(F.col(source_col).cast("string"), F.lit("\u0000"))
-    rated = rated.select(F.coalesce(F.col("__source").cast("string"), F.lit("\u0000")).alias("__source"), "__chunks", "__cdf")
+    rows = numbered(docs).withColumn("id", F.col(f"c{names.index(id_col)}")).withColumn("source", F.coalesce(F.col(f"c{names.index(source_col)}").cast("string"), F.lit("\u0000")))
+    own = [f"c{i}" for i in range(len(names))]
+    rated = rates(docs, weights, other, epochs, source_col).select(F.coalesce(F.col("source").cast("string"), F.lit("\u0000")).alias("source"), "chunks", "cdf")
     if docs.select(source_col).distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        joined = docs.withColumn("__source", key).join(F.broadcast(rated), "__source", "left")
+        joined = rows.join(F.broadcast(rated), "source", "left")
     else:
-        salted = rated.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = docs.withColumn("__source", key).withColumn("__salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")).join(salted, ["__source", "__salt"], "left")
-    draw = lambda i: F.size(F.filter(F.col("__cdf"), lambda c: c <= uniform(id_col, i, seed=seed)))
-    first = uniform(id_col, F.lit(1), seed=seed)
-    count = F.when(F.col("__chunks") == 1, F.size(F.filter(F.col("__cdf"), lambda c: c <= F.col("__u")))).otherwise(
-        F.aggregate(F.sequence(F.lit(1), F.col("__chunks")), F.lit(0), lambda acc, i: acc + draw(i))
+        salted = rated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["source", "salt"], "left")
+    draw = lambda i: F.size(F.filter(F.col("cdf"), lambda c: c <= uniform("id", i, seed=seed)))
+    count = F.when(F.col("chunks") == 1, F.size(F.filter(F.col("cdf"), lambda c: c <= F.col("u")))).otherwise(
+        F.aggregate(F.sequence(F.lit(1), F.col("chunks")), F.lit(0), lambda acc, i: acc + draw(i))
     )
-    repeated = joined.withColumn("__u", first).withColumn("__n", count).where("__n > 0").select(*names, F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("copy"))
-    hashed = F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}:shuffle"), F.coalesce(F.col(id_col).cast("string"), F.lit("\u0000")), F.col("copy").cast("string")).cast("binary")), 1, 15)
-    keyed = repeated.withColumn("shuffle_key", F.conv(hashed, 16, 10).cast("bigint"))
+    repeated = joined.withColumn("u", uniform("id", F.lit(1), seed=seed)).withColumn("n", count).where("n > 0")
+    repeated = repeated.select(*own, "id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
+    hashed = F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}:shuffle"), F.coalesce(F.col("id").cast("string"), F.lit("\u0000")), F.col("copy").cast("string")).cast("binary")), 1, 15)
+    keyed = repeated.select(*own, "copy", F.conv(hashed, 16, 10).cast("bigint").alias("shuffle_key"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = F.shiftrightunsigned(F.col("shuffle_key"), 30) * parts
-    return keyed.repartitionById(parts, F.shiftrightunsigned(part, 30).cast("int")).sortWithinPartitions("shuffle_key")
+    shuffled = keyed.repartitionById(parts, F.shiftrightunsigned(part, 30).cast("int")).sortWithinPartitions("shuffle_key")
+    return shuffled.toDF(*names, "copy", "shuffle_key")
 
 
 #: Production parameters: src0, which holds a third of the rows, is thinned; three small sources are repeated.
