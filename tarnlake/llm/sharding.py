@@ -1,10 +1,10 @@
 """Best-fit-decreasing sharding of indivisible groups.
 
-Groups of equal texts are the items.  Every group of at least 1/FINE of an average shard is an item of its own; the
-smaller groups are dealt by hash into FINE bundles a shard and a bundle is an item.  So the driver packs at most
-2 * FINE * shards items, whatever the corpus, and no group is ever split.  Packing is best fit decreasing over an
-AVL tree of remaining capacities; the smallest capacity that needs no more than the wanted number of shards is found by
-bisection.
+Groups of equal texts are the items, and every one of them is packed.  Sizes are whole numbers, so the driver gets classes
+(size, how many groups): the distinct sizes of items that sum to n number at most sqrt(2 n), and are far fewer in practice.  Best fit
+decreasing takes a class in runs: the tightest bin with room for one item stays the tightest while it has room for another, so the
+bins of a class are a few runs of its groups in the order of their keys, exactly those of the plain algorithm.  Groups find
+their run by their rank within the class.  Bins lie in an AVL tree of remaining capacities.
 """
 
 from __future__ import annotations
@@ -13,13 +13,13 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import own_columns, written
 
-FINE = 512
 ROWS_A_SLICE = 50_000
+#: Up to so many classes the runs of each are broadcast; beyond it they are joined on the size.
+BROADCAST_CLASSES = 200_000
 
 
 class _Node:
@@ -122,36 +122,68 @@ def best_fit_decreasing(sizes: Iterable[tuple[object, int]], capacity: int) -> t
     return where, loads
 
 
-def pack_into(sizes: list[tuple[object, int]], shards: int) -> dict:
-    """The bins of the least capacity, found by bisection, for which best fit decreasing opens at most ``shards`` bins."""
-    if not sizes:
+def pack_classes(classes: list[tuple[int, int]], capacity: int, most: int | None = None) -> tuple[dict[int, list[tuple[int, int]]], list[int]]:
+    """best_fit_decreasing of classes (size, count): by size the runs (end, bin), end being the rank in the class that the run stops
+    before, and the load of each bin.  Packing gives up (and tells more than ``most`` loads) once it opens more than ``most`` bins."""
+    tree, runs, loads = CapacityTree(), {}, []
+    for size, count in sorted(classes, reverse=True):
+        if size > capacity:
+            raise ValueError(f"size {size} exceeds the capacity {capacity}")
+        own, done = runs.setdefault(size, []), 0
+        while done < count:
+            found = tree.take_tightest(size)
+            if found is None:
+                loads.append(0)
+                if most is not None and len(loads) > most:
+                    return runs, loads
+                found = (capacity, len(loads) - 1)
+            left, number = found
+            fit = min(count - done, left // size)
+            done += fit
+            own.append((done, number))
+            loads[number] += size * fit
+            tree.add((left - size * fit, number))
+    return runs, loads
+
+
+def pack_into(classes: list[tuple[int, int]], shards: int) -> dict[int, list[tuple[int, int]]]:
+    """The runs of a capacity, found by bisection, for which best fit decreasing opens at most ``shards`` bins.
+
+    Whether it does isn't monotone in the capacity, so a lesser capacity that would do as well may exist; one byte less than
+    the one found was tried or is below the bound of the average and the largest group."""
+    if not classes:
         return {}
-    total, largest = sum(s for _, s in sizes), max(s for _, s in sizes)
+    total, largest = sum(s * n for s, n in classes), max(s for s, _ in classes)
     low = max(-(-total // shards), largest)
     high, best = low, None
     while best is None:
-        where, loads = best_fit_decreasing(sizes, high)
+        runs, loads = pack_classes(classes, high, shards)
         if len(loads) <= shards:
-            best = where
+            best = runs
         else:
             low, high = high + 1, high + max(1, high // 64)
     while low < high:
         middle = (low + high) // 2
-        where, loads = best_fit_decreasing(sizes, middle)
+        runs, loads = pack_classes(classes, middle, shards)
         if len(loads) <= shards:
-            best, high = where, middle
+            best, high = runs, middle
         else:
             low = middle + 1
     return best
 
 
+def _before(counts: DataFrame, within: str) -> DataFrame:
+    """(within, slice, before): the rows of ``within`` in slices before this one, of counts (within, slice, n)."""
+    return counts.select(within, "slice", (F.sum("n").over(Window.partitionBy(within).orderBy("slice")) - F.col("n")).alias("before"))
+
+
 def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null), group_key.
 
     size is the UTF-8 length of the text plus 1; a null text has length 0, crc32 0, and is of the group of ''.  Shards
     number 0 to shards - 1; rows of one text are never in two shards, so a group larger than an average shard makes its shard
-    larger.  slot numbers the rows of a shard from 0 without gaps, by slice of the id's hash, id, then row.  A null id is
-    an id like any other, repeated rows get slots of their own, and an empty table gives no rows.
+    larger.  Groups of one size are packed in the order of group_key.  slot numbers the rows of a shard from 0 without gaps, by slice of
+    the row's hash, id, then row.  A null id is an id like any other, repeated rows get slots of their own, and an empty table gives no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = own_columns(docs, id=id_col, text=text_col).select(
@@ -163,30 +195,29 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     )
     rows = written(rows, "sized")
     groups = written(rows.groupBy("group_key").agg(F.sum("size").alias("bytes")), "sizes")
-    n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    large = F.col("bytes") * (FINE * shards) >= F.lit(total)
-    bundle = F.pmod(F.xxhash64("group_key"), F.lit(FINE * shards)).cast("string")
-    items = groups.select(F.when(large, F.col("group_key")).otherwise(bundle).alias("item"), "bytes").groupBy("item").agg(F.sum("bytes").alias("bytes"))
-    where = pack_into([(r.item, r.bytes) for r in items.collect()], shards)
     spark = docs.sparkSession
-    schema = T.StructType([T.StructField("item", T.StringType()), T.StructField("shard", T.IntegerType())])
-    placed = spark.createDataFrame(sorted(where.items()), schema)  # at most 2 * FINE * shards rows
-    own = F.broadcast(placed.where(F.length("item") == 32).select(F.col("item").alias("group_key"), F.col("shard").alias("own_shard")))
-    dealt = F.broadcast(placed.where(F.length("item") < 32).select("item", F.col("shard").alias("dealt_shard")))
+    n, items = rows.count(), groups.count()
+    # rank of a group among those of its size by key: a slice is a common beginning of keys, so ranks don't depend on how many there are
+    digits = next(d for d in range(5) if items <= ROWS_A_SLICE * 16**d or d == 4)
+    sliced = groups.withColumn("slice", F.substring("group_key", 1, digits))
+    counts = written(sliced.groupBy("bytes", "slice").agg(F.count(F.lit(1)).alias("n")), "classes")
+    classes = [(r.bytes, r.n) for r in counts.groupBy("bytes").agg(F.sum("n").alias("n")).toLocalIterator()]
+    runs = pack_into(classes, shards)
+    schema = "bytes bigint, ends array<bigint>, bins array<int>"
+    made = [(size, [e for e, _ in own], [b for _, b in own]) for size, own in runs.items()]
+    placed = spark.createDataFrame(made, schema)
+    placed = F.broadcast(placed) if len(made) <= BROADCAST_CLASSES else placed
+    inside = F.row_number().over(Window.partitionBy("bytes", "slice").orderBy("group_key")) - 1
+    ranked = sliced.withColumn("inside", inside).join(_before(counts, "bytes"), ["bytes", "slice"]).withColumn("rank", F.col("before") + F.col("inside"))
+    run = F.size(F.filter("ends", lambda e: e <= F.col("rank")))
+    found = written(ranked.join(placed, "bytes").select("group_key", F.get("bins", run).alias("shard")), "shards")
     slices = max(1, n // ROWS_A_SLICE)
-    rows = (
-        rows.join(own, "group_key", "left")
-        .withColumn("item", bundle)
-        .join(dealt, "item", "left")
-        .withColumn("shard", F.coalesce("own_shard", "dealt_shard"))
-        .withColumn("slice", F.pmod(F.xxhash64("row"), F.lit(slices)))
-    )
-    counts = rows.groupBy("shard", "slice").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("shard", "slice", (F.sum("n").over(Window.partitionBy("shard").orderBy("slice")) - F.col("n")).alias("before"))
+    rows = written(rows.join(found, "group_key").withColumn("slice", F.pmod(F.xxhash64("row"), F.lit(slices))), "placed")
+    before = _before(rows.groupBy("shard", "slice").agg(F.count(F.lit(1)).alias("n")), "shard")
     inside = F.row_number().over(Window.partitionBy("shard", "slice").orderBy(F.col("doc_id").asc_nulls_last(), "row")) - 1
     return (
         rows.withColumn("inside", inside)
-        .join(before, ["shard", "slice"])
+        .join(F.broadcast(before) if shards * slices <= BROADCAST_CLASSES else before, ["shard", "slice"])
         .select(
             "doc_id",
             "size",
