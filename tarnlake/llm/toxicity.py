@@ -1,9 +1,9 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A lexical transducer reads words as classes: insult (I), threat (T), target (Y), negation (N), reported speech (R) and other
-(O).  Three small transducers rewrite that stream and are composed with each other: negation marks what follows it
-closely, reported speech marks the rest of its clause, and target marks what shares a clause with an address.  The composed
-machine runs over clauses; the weight of a clause is the sum over its marked matches, so "you are an X", "he said X" and "not
+(O).  Small transducers rewrite that stream: negation marks what follows it closely, reported speech marks the rest of its clause,
+and target marks what shares a clause with an address.  These three are composed into one machine, which reads a clause forwards;
+addresses behind a match are marked before by a fourth, which reads it backwards.  The weight of a clause is the sum over its marked matches, so "you are an X", "he said X" and "not
 an X" count differently although the word is the same.
 
 Word weights are learned: forms (words and word beginnings) whose contexts are far commoner in toxic than in other
@@ -34,6 +34,8 @@ NEGATIONS = "not no never isn't aren't wasn't don't doesn't without nicht kein k
 REPORTS = "said says saying called calls wrote reported quoted claimed alleged according sagte sagt nannte schrieb laut zitierte dit disait appelé écrit selon dijo dice llamó escribió según".split()
 
 CLASSES = "ITYNRO"
+#: What the forward transducers read as an insult or a threat, addressed later in its clause or not.
+MATCHES = ("I", "T", "I@", "T@")
 NEGATION_REACH = 3
 CLAUSE = re.compile(r"[.!?;:\n,]+")
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
@@ -69,6 +71,11 @@ class Transducer:
         return made
 
 
+def addressed_later() -> Transducer:
+    """Reads a clause from its end and marks insults and threats before an address with '@'."""
+    return Transducer(0, {(0, "Y"): (1, "Y"), (1, "I"): (1, "I@"), (1, "T"): (1, "T@")})
+
+
 def negation() -> Transducer:
     """Marks insults and threats up to NEGATION_REACH words after a negation with '-'."""
     t = Transducer(0)
@@ -76,7 +83,7 @@ def negation() -> Transducer:
         for c in "YRO":
             t.arcs[left, c] = (max(0, left - 1), c)
         t.arcs[left, "N"] = (NEGATION_REACH, "N")
-        for c in "IT":
+        for c in MATCHES:
             t.arcs[left, c] = (0, c + "-" if left else c)
     return t
 
@@ -84,23 +91,40 @@ def negation() -> Transducer:
 def reported() -> Transducer:
     """Marks insults and threats after a verb of saying, to the end of the clause, with '"'."""
     t = Transducer(0, {(0, "R"): (1, "R")})
-    for c in ("I", "T", "I-", "T-"):
-        t.arcs[1, c] = (1, c + '"')
+    for c in MATCHES:
+        for d in (c, c + "-"):
+            t.arcs[1, d] = (1, d + '"')
     return t
 
 
 def targeted() -> Transducer:
-    """Marks insults and threats of a clause that has addressed someone with '@'; a threat without an address is nothing."""
+    """Marks insults and threats after an address with '@', once; a threat whose clause addresses nobody is nothing."""
     t = Transducer(0, {(0, "Y"): (1, "Y")})
-    for c in ("I", "I-", 'I"', 'I-"', "T", "T-", 'T"', 'T-"'):
-        t.arcs[1, c] = (1, c + "@")
-        if c[0] == "T":
-            t.arcs[0, c] = (0, "O")
+    for c in "IT":
+        for marks in ("", "-", '"', '-"'):
+            t.arcs[1, c + marks] = (1, c + marks + "@")
+            if c == "T":
+                t.arcs[0, c + marks] = (0, "O")
     return t
 
 
 def grammar() -> Transducer:
-    return negation().compose(reported(), set(CLASSES)).compose(targeted(), set(CLASSES))
+    """The three forward transducers composed: negation, then reported speech, then target."""
+    alphabet = {*CLASSES, *MATCHES}
+    return negation().compose(reported(), alphabet).compose(targeted(), alphabet)
+
+
+def marked(symbols: list[str], machine: Transducer) -> list[str]:
+    """The symbols of one clause as the grammar marks them: one pass from its end, one from its beginning."""
+    back, state, seen = addressed_later(), 0, []
+    for symbol in reversed(symbols):
+        state, wrote = back.step(state, symbol)
+        seen.append(wrote)
+    state, out = machine.start, []
+    for symbol in reversed(seen):
+        state, wrote = machine.step(state, symbol)
+        out.append(wrote)
+    return out
 
 
 def weight_of(symbol: str) -> float:
@@ -168,11 +192,8 @@ class Model:
             spans.append((begin, done))
         out = []
         for begin, stop in spans:
-            state, total = machine.start, 0.0
-            for m in WORD.finditer(low, begin, stop):
-                symbol, value = self._class(m[0])
-                state, wrote = machine.step(state, symbol)
-                total += weight_of(wrote) * value
+            read = [self._class(m[0]) for m in WORD.finditer(low, begin, stop)]
+            total = sum(weight_of(w) * value for w, (_, value) in zip(marked([c for c, _ in read], machine), read))
             if total > 0:
                 out.append(total)
         return out
@@ -234,6 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = _sample(rows, own_columns(labels, id=id_col, toxic="toxic"), seed).cache()
     sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
+        sample.unpersist()
         return default_model()
     schema = "form string, context bigint"
     least = max(MIN_CONTEXTS, int(MIN_SHARE * sizes[1]))
