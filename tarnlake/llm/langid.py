@@ -20,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_columns
+from .common import own_columns, written
 
 BUCKETS, DIM, ORDERS = 1 << 15, 16, (2, 3, 4)
-#: The sample: at most about so many rows a language, and so many languages (the most frequent).
-ROWS_A_LANGUAGE, LANGUAGES = 1500, 256
+#: The sample: about so many rows a language at most, and about so many in all (but one or more of each language).
+ROWS_A_LANGUAGE, ROWS = 1500, 6000
+BROADCAST_LANGUAGES = 100_000
 EPOCHS, BATCH, RATE = 12, 32, 60.0
 PRECISION = 0.95
 PIECE = 1 << 20
@@ -172,19 +173,22 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 5) -> Model:
-    """Train on at most about ROWS_A_LANGUAGE rows of each language, chosen by a hash of their id.
+    """Train on about ROWS_A_LANGUAGE rows of each language and ROWS in all at most, chosen by a hash of their id.
 
-    Rows without a language or without a letter teach nothing.  What the driver gets is n-gram counts of bounded size."""
+    Every language is learned, however many there are: with more of them each gives fewer rows, one at least.  Rows without a language or
+    without a letter teach nothing.  What the driver gets is n-gram counts of the sample."""
     rows = own_columns(labelled, id=id_col, text=text_col, lang=lang_col).where("lang is not null and text is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return train([], [])
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r.lang, F.lit(min(1.0, ROWS_A_LANGUAGE / r["count"]))).otherwise(share)
-    chance = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    sample = rows.where(chance < share).where(F.col("text").rlike(r"\p{L}")).select("text", "lang")
+    chance = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000_000)) / F.lit(1_000_000_000.0)
+    rows = rows.where(F.col("text").rlike(r"\p{L}")).withColumn("chance", chance)
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("chance").alias("least"))
+    known = counts.agg(F.count(F.lit(1)).alias("languages"))  # one row
+    each = F.least(F.lit(float(ROWS_A_LANGUAGE)), F.lit(float(ROWS)) / F.col("languages"))
+    wanted = written(counts.join(F.broadcast(known)).select("lang", "least", (each / F.col("n")).alias("share")), "shares")
+    shares = F.broadcast(wanted) if wanted.count() <= BROADCAST_LANGUAGES else wanted
+    sample = rows.join(shares, "lang").where("chance < share or chance = least").select("text", "lang")
     got = sample.mapInArrow(_feature_batches, "buckets array<int>, weights array<float>, lang string").toArrow()
+    if not got.num_rows:
+        return train([], [])
     languages = sorted(set(got.column("lang").to_pylist()))
     number = {name: i for i, name in enumerate(languages)}
     found = zip(got.column("buckets"), got.column("weights"), got.column("lang").to_pylist())
