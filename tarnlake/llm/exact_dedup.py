@@ -20,12 +20,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_columns, written
+from .common import numbered, own_columns, written
 
 SLOTS = 4
 MAX_KICKS = 200
 #: Live digests of one index: a scan hands its index on at so many, and the shuffle has tasks enough for about so many each.
 LIVE_DIGESTS = 500_000
+#: drop_copies: up to so many dropped rows (id, and digest where ids repeat) are broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 class CuckooIndex:
@@ -198,18 +200,29 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_dedup drops: every distinct text once, all columns kept.
 
-    Rows are matched by id and digest, and a repeated row is left once.
+    Rows are matched by id, and where ids repeat by id and digest; a repeated row is left once.  Texts don't move unless more than
+    BROADCAST_ROWS rows are dropped: those that are dropped go to the scan, not the rows to them.
     """
     names = docs.columns
-    keep = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    lowered = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    kept = docs.join(keep, docs[id_col].cast("bigint").eqNullSafe(F.col("__id")), "left_semi")
-    unique = docs.groupBy(F.col(id_col).alias("__id")).count().where("count > 1").limit(1).count() == 0
-    if unique:
-        return kept.select(*names)
-    matched = docs.withColumn("__s", F.sha2(lowered.cast("binary"), 256))
-    matched = matched.join(keep, matched[id_col].cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__s") == F.col("__sha")), "left_semi")
-    return matched.dropDuplicates([id_col, "__s"]).select(*names)
+    decided = exact_dedup(docs, id_col, text_col).select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"), "kept")
+    decided = written(decided, "decided")
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    rows = numbered(docs).withColumn("id", F.col(f"c{names.index(id_col)}").cast("bigint"))
+    own = [f"c{i}" for i in range(len(names))]
+    same_id = lambda a, b: a["id"].eqNullSafe(b["id"])
+    if decided.groupBy("id").count().where("count > 1").isEmpty():
+        gone = written(decided.where("not kept").select("id"), "dropped")
+        return rows.join(small(gone), same_id(rows, gone), "left_anti").select(*own).toDF(*names)
+    # (id, digest) of rows of which none stays, and of those of which one row of several stays
+    pairs = decided.groupBy("id", "sha").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+    gone = written(pairs.where("not stays or n > 1").select("id", "sha", "stays"), "dropped")
+    again = gone.where("stays")
+    lowered = F.translate(F.coalesce(F.col(f"c{names.index(text_col)}"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = rows.withColumn("sha", F.sha2(lowered.cast("binary"), 256))
+    both = lambda b: same_id(rows, b) & (rows["sha"] == b["sha"])
+    single = rows.join(small(gone), both(gone), "left_anti")
+    once = rows.join(small(again), both(again), "left_semi").dropDuplicates(["id", "sha"])
+    return single.union(once).select(*own).toDF(*names)
 
 
 ORACLE = """
