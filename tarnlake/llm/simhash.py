@@ -6,7 +6,7 @@ non-zero masks v, table v keeps the positions whose vector has an odd product wi
 within the radius meets in some table, with certainty.  Pairs that meet are verified by counting bits.
 
 Only distinct fingerprints enter the tables, a table row is 20 bytes, and what a bucket hands on is a chain
-through each of its components, never its pairs.
+through each of its components, never its pairs; a large bucket is dealt anew into tables over the bits its members differ in.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_columns, written
+from .common import numbered, own_columns, written
 from .components import connected_components
 
 SEED = 42
@@ -48,20 +48,37 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def covering_masks(radius: int, bits: int = 64) -> list[int]:
-    """2^(radius+1) - 1 masks of which every set of at most ``radius`` positions escapes at least one."""
+def covering_masks(radius: int, bits: int = 64, positions: list[int] | None = None) -> list[int]:
+    """2^(radius+1) - 1 masks over the positions (default: all bits) of which every set of at most ``radius`` escapes at least one."""
     span = 1 << (radius + 1)
-    vectors = [1 + i % (span - 1) for i in range(bits)]
-    return [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2) for v in range(1, span)]
+    vectors = [(p, 1 + i % (span - 1)) for i, p in enumerate(range(bits) if positions is None else positions)]
+    return [sum(1 << p for p, m in vectors if (m & v).bit_count() % 2) for v in range(1, span)]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+#: Up to so many fingerprints of a bucket are compared with each other; more are dealt into tables over the bits they differ in.
+TOGETHER = 2048
+
+
 def chain_components(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A chain of links through each component of distinct uint64 fingerprints, linked at ``radius`` or fewer bits."""
+    """Links of which those of distinct uint64 fingerprints at ``radius`` or fewer bits make the same components."""
     links, left = [], prints
+    if len(prints) > TOGETHER:
+        differ = int(np.bitwise_or.reduce(prints ^ prints[0]))
+        for mask in covering_masks(radius, positions=[p for p in range(64) if differ >> p & 1]):
+            keys = prints & np.uint64(mask)
+            order = np.argsort(keys, kind="stable")
+            cuts = np.flatnonzero(np.diff(keys[order])) + 1
+            if not len(cuts):
+                break  # this table parts nothing
+            for part in np.split(prints[order], cuts):
+                links += chain_components(part, radius)
+        else:
+            return links
+        links = []
     while len(left) > 1:
         queue, left, last = [left[0]], left[1:], None
         while queue:
@@ -87,27 +104,28 @@ def _print_batches(words: int):
 
 
 def _link_batches(radius: int):
-    """Rows come sorted by (tab, key): runs of two and more become chains; a run may span batches."""
+    """Rows come sorted by (tab, key): runs of two and more become links; a run may span batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.zeros(0, np.int64),) * 3
+        held: list[np.ndarray] = []  # the parts of the run that may go on
+        last = None
         for batch in _ended(batches):
-            if batch is not None:
-                new = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]
-                tab, key, fp = (np.concatenate(x) for x in zip(held, new))
-            else:
-                tab, key, fp = held
-            if not len(tab):
-                continue
-            cuts = np.flatnonzero((tab[1:] != tab[:-1]) | (key[1:] != key[:-1])) + 1
-            edges = np.concatenate(([0], cuts, [len(tab)]))
-            done = len(edges) - 1 if batch is None else len(edges) - 2
             links: list[tuple[int, int]] = []
-            sizes = np.diff(edges)[:done]
-            for r in np.flatnonzero(sizes > 1):
-                links += chain_components(np.unique(fp[edges[r] : edges[r + 1]].view(np.uint64)), radius)
-            rest = edges[done]
-            held = (tab[rest:], key[rest:], fp[rest:])
+            if batch is None or batch.num_rows:
+                ready = []
+                if batch is not None:
+                    tab, key, fp = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+                    parts = np.split(fp, np.flatnonzero((tab[1:] != tab[:-1]) | (key[1:] != key[:-1])) + 1)
+                    if last == (tab[0], key[0]):
+                        held.append(parts.pop(0))
+                    if parts:
+                        ready, held = [held, *([p] for p in parts[:-1])], [parts[-1]]
+                    last = (tab[-1], key[-1])
+                else:
+                    ready, held = [held], []
+                for run_parts in ready:
+                    if sum(map(len, run_parts)) > 1:
+                        links += chain_components(np.unique(np.concatenate(run_parts).view(np.uint64)), radius)
             if links:
                 pairs = np.array(links, dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -154,8 +172,8 @@ MINIMA, TRIPLES = 256, 24
 SHORT = 300
 #: How far below the wanted similarity an estimate puts a pair aside; ids of at most so many open rows are broadcast.
 DOUBT, BROADCAST_NODES = 0.2, 1_000_000
-#: Rows of a run that are compared with each other at a time.
-BLOCK = 4096
+#: A block of a run: so many rows, and so many distinct shingles (four bytes each), on average.  A task holds two blocks at a time.
+BLOCK, BLOCK_SHINGLES = 4096, 2_000_000
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -210,91 +228,73 @@ def _minima_batches(words: int, masks: list[int]):
     return run
 
 
-def _run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (tab, key, node) come sorted: each row of a run but the first, with the run's first row and the row before it."""
-    last = None  # tab, key, first node, previous node
-    for batch in batches:
-        tab, key, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        if not len(tab):
+def alike_chain(sets: list[np.ndarray], root: np.ndarray, own: np.ndarray, within: bool, similarity: float) -> Iterator[tuple[int, int]]:
+    """Links (i, j) that join what all pairs of sets (uint32) at ``similarity`` or more join beyond ``root``; pairs of one ``own`` are
+    left out unless ``within``.
+
+    A set is left out if too few of its elements occur in any other.  Of the rest, a set is compared with those that hold one of its
+    rarest elements, of which one alike must hold some, and whose size allows it, unless links join them already."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    tokens = np.concatenate([np.zeros(0, np.uint32), *sets])
+    kinds, counts = np.unique(tokens, return_inverse=True, return_counts=True)[1:]
+    of_row = np.repeat(np.arange(len(sets)), sizes)
+    common = counts[kinds] > 1
+    shared = np.bincount(of_row[common], minlength=len(sets))
+    order = np.argsort(sizes, kind="stable")
+    order = order[shared[order] >= similarity * sizes[order] - 1e-6]
+    place = np.full(len(sets), -1)
+    place[order] = np.arange(len(order))
+    sizes, shared, root, own = sizes[order], shared[order], root[order], own[order]
+    # elements are numbered by rising frequency, rows by rising size; tokens go by (row, element)
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    common &= place[of_row] >= 0
+    row, element = place[of_row[common]], rank[kinds[common]]
+    by_row = np.lexsort((element, row))
+    row, element = row[by_row], element[by_row]
+    starts = np.searchsorted(row, np.arange(len(order) + 1))
+    holders = row[np.argsort(element, kind="stable")]
+    first = np.searchsorted(np.sort(element), np.arange(len(counts) + 1))
+    mark = np.zeros(len(counts), bool)
+    for i in range(len(order) - 1):
+        # a larger set than this can't be alike, and no smaller one follows
+        stop = int(np.searchsorted(sizes, int(sizes[i] / similarity + 1e-6), "right"))
+        wanted = root[i + 1 : stop] != root[i]
+        if not within:
+            wanted &= own[i + 1 : stop] != own[i]
+        if not wanted.any():
             continue
-        new = np.ones(len(tab), bool)
-        new[1:] = (tab[1:] != tab[:-1]) | (key[1:] != key[:-1])
-        if last is not None and (tab[0], key[0]) == last[:2]:
-            new[0] = False
-        start = np.maximum.accumulate(np.where(new, np.arange(len(tab)), -1))
-        first = np.where(start >= 0, node[start], last[2] if last is not None else 0)
-        before = np.concatenate(([last[3] if last is not None else 0], node[:-1]))
-        last = (tab[-1], key[-1], first[-1], node[-1])
-        kept = ~new & (node != before)
-        yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (tab, key, first, before, node)], ["tab", "key", "first", "before", "node"])
-
-
-def _rest_batches(least: float):
-    """Rows (tab, key, p, q, own, root, node, minima) come sorted by the first four: the pairs of a group that are of different
-    roots and not of one block (but for p = q), if their estimate is at least ``least``.  A group may span batches."""
-
-    def pairs(rows: list[tuple]) -> Iterator[tuple[int, int, float]]:
-        node, root, own = (np.array([r[i] for r in rows], np.int64) for i in (6, 5, 4))
-        prints = np.frombuffer(b"".join([r[7] for r in rows]), np.uint8).reshape(-1, MINIMA)
-        whole = rows[0][2] == rows[0][3]
-        for i in range(len(rows) - 1):
-            wanted = root[i + 1 :] != root[i]
-            if not whole:
-                wanted &= own[i + 1 :] != own[i]
-            at = np.flatnonzero(wanted) + i + 1
-            if len(at):
-                j = (prints[at] == prints[i]).mean(1)
-                for k in np.flatnonzero(j >= least):
-                    yield min(node[i], node[at[k]]), max(node[i], node[at[k]]), j[k]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in _ended(batches):
-            rows = list(zip(*[c.to_pylist() for c in batch.columns])) if batch is not None else [None]
-            found: list[tuple[int, int, float]] = []
-            for row in rows:
-                if held and (row is None or row[:4] != held[0][:4]):
-                    found += pairs(held)
-                    held = []
-                held.append(row)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "j"])
-
-    return run
+        if not sizes[i]:
+            near = np.flatnonzero(wanted) + i + 1
+        else:
+            mine = element[starts[i] : starts[i + 1]]
+            rarest = int(sizes[i] - np.ceil(similarity * sizes[i] - 1e-6) + 1 - (sizes[i] - shared[i]))
+            met = np.zeros(len(order), bool)
+            for e in mine[:rarest]:
+                met[holders[first[e] : first[e + 1]]] = True
+            near = np.flatnonzero(met[i + 1 : stop] & wanted) + i + 1
+            if not len(near):
+                continue
+            mark[mine] = True
+            lengths = starts[near + 1] - starts[near]
+            at = np.repeat(starts[near] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
+            both = np.add.reduceat(mark[element[at]].astype(np.int64), np.concatenate(([0], np.cumsum(lengths)[:-1])))
+            mark[mine] = False
+            near = near[both >= similarity * (sizes[i] + sizes[near] - both) - 1e-9]
+        for k in near:
+            if root[k] != root[i]:
+                yield int(order[i]), int(order[k])
+                root[root == root[k]] = root[i]
 
 
 def _settle_batches(similarity: float):
-    """Rows (tab, key, p, q, own, root, node, shingles) come sorted by the first four: a chain of links (a, b) through the components
-    that the pairs of a group make which have a text of fewer than SHORT shingles, are not of one block (but for p = q), and are alike
-    by their sets.  A group may span batches."""
+    """Rows (tab, key, p, q, own, root, node, shingles) come sorted by the first four: a chain of links (a, b) through what the pairs of a
+    group join that are alike and not of one block (but for p = q).  A group may span batches."""
 
-    def chain(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        rows.sort(key=lambda r: len(r[7]))
+    def settled(rows: list[tuple]) -> list[tuple[int, int]]:
         own, root, node = (np.array([r[i] for r in rows], np.int64) for i in (4, 5, 6))
-        sizes = np.array([len(r[7]) // 4 for r in rows], np.int64)
-        ids = np.unique(np.frombuffer(b"".join([r[7] for r in rows]), "<u4"), return_inverse=True)[1]
-        starts = np.concatenate(([0], np.cumsum(sizes)))
-        whole, mark = rows[0][2] == rows[0][3], np.zeros(len(ids) + 1, np.int32)
-        for i in range(len(rows) - 1):
-            if sizes[i] >= SHORT:
-                break
-            # a larger set than this can't be alike, and no smaller one follows
-            stop = int(np.searchsorted(sizes, int(sizes[i] / similarity + 1e-6), "right"))
-            wanted = root[i + 1 : stop] != root[i]
-            if not whole:
-                wanted &= own[i + 1 : stop] != own[i]
-            if not wanted.any():
-                continue
-            shared = np.zeros(stop - i - 1, np.int64)
-            if sizes[i]:
-                mine, at = ids[starts[i] : starts[i + 1]], starts[i + 1]
-                mark[mine] = 1
-                shared = np.add.reduceat(mark[ids[at : starts[stop]]], starts[i + 1 : stop] - at)
-                mark[mine] = 0
-            for k in np.flatnonzero(wanted & (shared >= similarity * (sizes[i] + sizes[i + 1 : stop] - shared))) + i + 1:
-                if root[k] != root[i]:
-                    yield node[i], node[k]
-                    root[root == root[k]] = root[i]
+        sets = [np.frombuffer(r[7], "<u4") for r in rows]
+        return [(int(node[i]), int(node[j])) for i, j in alike_chain(sets, root, own, rows[0][2] == rows[0][3], similarity)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -303,7 +303,7 @@ def _settle_batches(similarity: float):
             found: list[tuple[int, int]] = []
             for row in rows:
                 if held and (row is None or row[:4] != held[0][:4]):
-                    found += chain(held)
+                    found += settled(held)
                     held = []
                 held.append(row)
             if found:
@@ -356,66 +356,67 @@ def _with_both(pairs: DataFrame, kept: DataFrame, value: str) -> DataFrame:
     return pairs.join(one, "a").join(kept.select(F.col("node").alias("b"), F.col(value).alias("two")), "b").select("a", "b", "one", "two")
 
 
-def _open_runs(met: DataFrame, found: DataFrame) -> DataFrame:
-    """(tab, key, node, root, blocks): the members of the runs that span components of found (node, root) and have pairs besides
-    those of the first look, one run of each set of members."""
-    members = met.select("tab", "key", "node").union(met.select("tab", "key", "first")).distinct()
-    rooted = written(members.join(found, "node", "left").select("tab", "key", "node", F.coalesce("root", "node").alias("root")), "members")
-    same = [F.sum(F.col("node").bitwiseAND(F.lit(0xFFFFFFFF))).alias("x"), F.sum(F.shiftrightunsigned("node", 32)).alias("y"), F.min("node").alias("least")]
-    spans = rooted.groupBy("tab", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), *same)
-    open_runs = spans.where("lo <> hi and n > 3").groupBy("n", "x", "y", "least").agg(F.min(F.struct("tab", "key")).alias("run"))
-    open_runs = open_runs.select("run.tab", "run.key", F.ceil(F.col("n") / F.lit(BLOCK)).cast("bigint").alias("blocks"))
-    return written(rooted.join(open_runs, ["tab", "key"]), "open")
+def _open_runs(met: DataFrame, found: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(tab, key, node, root, large, few, many): the members of the runs that span components of found (node, root) and have pairs besides
+    those of the first look, one run of each set of members.
 
-
-def _dealt(opened: DataFrame, kept: DataFrame, value: str) -> DataFrame:
-    """The members of open runs with the value that kept (node, value) has of them, sorted by group (tab, key, p, q).
-
-    A run of more than BLOCK rows is dealt into blocks by a hash of the node, and each two blocks meet in a group of their own, so
-    no task holds more than two blocks."""
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    rows = opened.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    ``large`` marks rows of the component that holds most of the run.  Those need not meet each other: they are dealt into ``many`` blocks
+    and the others into ``few``.  A run that is one block altogether has few = 1 and many = 0."""
+    rooted = written(met.where("n > 3").select("tab", "key", "node").join(found, "node", "left").select("tab", "key", "node", F.coalesce("root", "node").alias("root")), "members")
+    same = [F.sum(F.col("node").bitwiseAND(F.lit(0xFFFFFFFF))).alias("x"), F.sum(F.shiftrightunsigned("node", 32)).alias("y"), F.bit_xor("node").alias("z")]
+    spans = rooted.groupBy("tab", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), *same)
+    chosen = spans.where("lo <> hi").groupBy("n", "x", "y", "z").agg(F.min(F.struct("tab", "key")).alias("run")).select("run.tab", "run.key")
+    sizes = sizes.select("node", "size").dropDuplicates(["node"])
+    opened = written(rooted.dropDuplicates(["tab", "key", "node"]).join(chosen, ["tab", "key"]).join(sizes, "node"), "open")
+    blocks = F.sum(F.lit(1.0) / F.lit(BLOCK) + F.col("size") / F.lit(float(BLOCK_SHINGLES)))
+    of_root = opened.groupBy("tab", "key", "root").agg(blocks.alias("blocks"))
+    of_run = of_root.groupBy("tab", "key").agg(F.sum("blocks").alias("all"), F.max(F.struct("blocks", "root")).alias("most"))
+    few = F.when(F.col("all") <= 1, F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("all") - F.col("most.blocks"))))
+    many = F.when(F.col("all") <= 1, F.lit(0)).otherwise(F.ceil("most.blocks"))
+    of_run = written(of_run.select("tab", "key", F.col("most.root").alias("most"), few.cast("bigint").alias("few"), many.cast("bigint").alias("many")), "blocks")
+    return opened.join(of_run, ["tab", "key"]).select("tab", "key", "node", "root", ((F.col("root") == F.col("most")) & (F.col("many") > 0)).alias("large"), "few", "many")
+
+
+def _dealt(opened: DataFrame, sets: DataFrame) -> DataFrame:
+    """The members of open runs with their sets (node, shingles), sorted by group (tab, key, p, q): each two blocks that must meet have a
+    group of their own, so no task holds more than two blocks."""
+    own = F.when(F.col("large"), F.col("few") + F.pmod(F.xxhash64("node"), F.col("many"))).otherwise(F.pmod(F.xxhash64("node"), F.col("few")))
+    last = F.when(F.col("large"), F.col("few") - 1).otherwise(F.col("few") + F.col("many") - 1)
+    rows = opened.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     rows = rows.select("tab", "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "root", "node")
     group = ["tab", "key", "p", "q"]
-    rows = rows.join(kept.select("node", value).dropDuplicates(["node"]), "node").select(*group, "own", "root", "node", value)
+    rows = rows.join(sets, "node").select(*group, "own", "root", "node", "shingles")
     return rows.repartition(*group).sortWithinPartitions(*group)
 
 
-def _rest_of_runs(met: DataFrame, found: DataFrame, signed: DataFrame, least: float, opened: DataFrame | None = None) -> DataFrame:
-    """(a, b, j): the pairs of a run that are in different components of found (node, root), with their estimate j >= least; opened
-    is what _open_runs gives of the first two, if it's known."""
-    rows = _dealt(_open_runs(met, found) if opened is None else opened, signed, "minima")
-    return rows.mapInArrow(_rest_batches(least), "a bigint, b bigint, j double").dropDuplicates(["a", "b"])
-
-
 def drop_near(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of near-duplicate texts, all columns kept.
 
     A resemblance of 0.8 on word shingles leaves some ten of 64 SimHash bits different, and covering tables of that radius number
     2^11 - 1.  So besides the covering tables of the text's SimHash there are TRIPLES tables keyed by three minima of
     its shingles, each minimum by a hash of its own, of which a pair at 0.8 misses all with a chance below 1e-7 whatever its length.
-    Rows that meet in a table link if their sets of shingles are alike; no pair links by an estimate.  The sets of two texts of SHORT
-    shingles or more are compared only if their estimate over MINIMA minima is at most DOUBT below ``similarity``, which a pair at 0.8
-    misses with a chance below 1e-11.
+    Rows that meet in a table link if their sets of shingles are alike; no pair links by an estimate.
 
-    Of a run of rows that meet, the first look takes each with the run's first row and with the row before it, which joins most
-    groups in a number of pairs that is linear in the rows.  Then every pair of a run that is still in different components
-    is looked at, so none of those that meet goes unjudged.  Pairs with a text of fewer than SHORT shingles are settled where they
-    meet, and only a chain of their links is handed on.
+    The first look takes each row of a run with the run's least and greatest node, which joins most groups in a number of pairs that is
+    linear in the rows; here the sets of two texts of SHORT shingles or more are compared only if their estimate over MINIMA minima is at
+    most DOUBT below ``similarity``, which a pair at 0.8 misses with a chance below 1e-11.  Then every run that still spans components is
+    settled by its sets where its rows meet: no pair goes unjudged, none is handed on, only a chain of links.
 
     Texts without words are alike.  Rows with equal id and text go or stay together (drop exact copies first); the row
     that stays in a group is the one with the least hash.  Null ids are hashed like any other, and an empty table stays empty.
     """
     names = docs.columns
-    node = F.xxhash64(F.col(id_col).cast("bigint"), F.coalesce(F.col(text_col), F.lit("")))
     masks = covering_masks(radius)
-    rows = own_columns(docs, id=id_col, text=text_col).select(F.xxhash64(F.col("id").cast("bigint"), F.coalesce("text", F.lit(""))).alias("node"), "text")
+    node = lambda i, t: F.xxhash64(F.col(i).cast("bigint"), F.coalesce(F.col(t), F.lit("")))
+    rows = own_columns(docs, id=id_col, text=text_col).select(node("id", "text").alias("node"), "text")
     signed = written(rows.mapInArrow(_minima_batches(words, masks), "node bigint, minima binary, keys array<bigint>, size bigint"), "minima")
-    tables = signed.select("node", F.posexplode("keys").alias("tab", "key")).select(F.col("tab").cast("bigint").alias("tab"), "key", "node")
-    met = tables.repartition("tab", "key").sortWithinPartitions("tab", "key", "node").mapInArrow(_run_batches, "tab bigint, key bigint, first bigint, before bigint, node bigint")
-    met = written(met, "runs")
-    pairs = written(met.select(F.col("first").alias("a"), F.col("node").alias("b")).union(met.select("before", "node")).distinct(), "pairs")
-    sketches = signed.select("node", F.struct("minima", "size").alias("sketch"))
+    tables = signed.select("node", F.posexplode("keys").alias("tab", "key"))
+    runs = tables.groupBy("tab", "key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n"))
+    met = written(tables.join(runs.where("first <> last"), ["tab", "key"]).select("tab", "key", "node", "first", "last", "n"), "runs")
+    ends = F.explode(F.array("first", "last")).alias("end")
+    pairs = met.select("node", ends).where("node <> end").select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b"))
+    pairs = written(pairs.distinct(), "pairs")
+    sketches = signed.select("node", F.struct("minima", "size").alias("sketch")).dropDuplicates(["node"])
     likely = written(_with_both(pairs, sketches, "sketch").mapInArrow(_open_batches(similarity), "a bigint, b bigint"), "likely")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
@@ -423,17 +424,13 @@ def drop_near(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius:
         wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
         return written(rows.join(wanted, "node", "left_semi").mapInArrow(_set_batches(words), "node bigint, shingles binary").dropDuplicates(["node"]), "sets")
 
-    def links(open_pairs: DataFrame) -> DataFrame:
-        sets = sets_of(open_pairs.select(F.col("a").alias("node")).union(open_pairs.select("b")))
-        return _with_both(open_pairs, sets, "shingles").mapInArrow(_exact_batches(similarity), "a bigint, b bigint")
-
-    found = connected_components(links(likely))
-    opened = _open_runs(met, found)
-    short = sets_of(opened.select("node").join(signed.where(F.col("size") <= SHORT / similarity).select("node"), "node", "left_semi"))
-    settled = written(_dealt(opened, short, "shingles").mapInArrow(_settle_batches(similarity), "a bigint, b bigint"), "settled")
-    rest = _rest_of_runs(met, found, signed.where(F.col("size") >= SHORT), similarity - DOUBT, opened)
-    rest = written(rest.select("a", "b").join(pairs, ["a", "b"], "left_anti"), "rest")
-    more = settled if rest.isEmpty() else settled.union(links(rest))
-    found = connected_components(more.union(found.where("node <> root")))
-    gone = written(found.where("node <> root").select(F.col("node").alias("__gone")), "gone")
-    return docs.join(gone, node == F.col("__gone"), "left_anti").select(*names)
+    sets = sets_of(likely.select(F.col("a").alias("node")).union(likely.select("b")))
+    found = connected_components(_with_both(likely, sets, "shingles").mapInArrow(_exact_batches(similarity), "a bigint, b bigint"))
+    opened = _open_runs(met, found, signed)
+    settled = written(_dealt(opened, sets_of(opened.select("node"))).mapInArrow(_settle_batches(similarity), "a bigint, b bigint"), "settled")
+    if not settled.isEmpty():
+        found = connected_components(settled.union(found.where("node <> root")))
+    gone = written(found.where("node <> root").select("node"), "gone")
+    kept = numbered(docs).withColumn("node", node(f"c{names.index(id_col)}", f"c{names.index(text_col)}"))
+    wanted = F.broadcast(gone) if gone.count() <= BROADCAST_NODES else gone
+    return kept.join(wanted, "node", "left_anti").drop("node").toDF(*names)
