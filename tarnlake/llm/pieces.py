@@ -32,15 +32,16 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SHIFT = 10.0
 UNKNOWN = -12.0
 SPACE = "▁"
-NUL = "\U0010fffe"  # a non-character, stands for a NUL of a text while words are apart
+#: Stands for a space mark that is a text's own character: no code point, so no piece matches it and its bytes are taken.
+OWN_MARK = 0x110000
 #: Texts are taken together up to so many code points.
-TOGETHER = 1_500_000
+TOGETHER = 600_000
 #: No Gumbel made from 53 random bits exceeds this.
 GUMBEL_MOST = 37.0
 #: The search looks at so many edges of a path at first, and at twice as many while deeper ones could still win.
 FIRST_LOOK = 160
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_RUNS = re.compile(f"{SPACE}+[^{SPACE}]*")
+_RUNS = re.compile(" +[^ ]*")
 _U = np.uint64
 _COUNT = np.arange(1 << 14, dtype=np.uint64)
 np.seterr(over="ignore", divide="ignore")  # hashes wrap, and a node without another edge has log mass -inf
@@ -143,7 +144,7 @@ class Lattice:
 
     @staticmethod
     def of(words: list[str], vocabulary: Vocabulary) -> Lattice:
-        """words as they stand in a lattice, space marks included, none empty.
+        """words as they stand in a text, each with the spaces before it, none empty; a space is matched as the space mark.
 
         Nodes are numbered by their distance to the end of the word and, within one distance, by word, longest words first: the
         node d positions from the end of word w is base[d] + w, so everything moves in slices.
@@ -156,6 +157,8 @@ class Lattice:
         base = np.concatenate(([0, 0], np.cumsum(alive[1:])))
         total = int(base[-1])
         points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        points[points == ord(SPACE)] = OWN_MARK
+        points[points == ord(" ")] = ord(SPACE)
         ends = np.cumsum(lengths)[by_length]
         letters = np.empty(total, np.uint64)
         for d in range(1, most + 1):
@@ -320,19 +323,13 @@ class Sampler:
     def sample(self, texts: list[str | None], keys: list[int], k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each text, up to k distinct segmentations in falling order of their perturbed log-probability: (ids,
         log-probability, perturbed, log inclusion).  There are fewer only where the text has fewer segmentations."""
-        apart: list[str | None] = []  # the words of each text, NUL between them
-        for text in texts:
-            if not text:
-                apart.append(None)
-            elif "  " in text or SPACE in text or "\0" in text or text[0] == " " or text[-1] == " ":
-                apart.append("\0".join([c[1:] for c in _RUNS.findall(SPACE + text.replace("\0", NUL).replace(" ", SPACE))]))
-            else:
-                apart.append(text.replace(" ", "\0"))
-        split = pc.split_pattern(pa.array(apart, pa.large_string()), "\0")
+        split = self._words(texts)
         counts = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = split.flatten().dictionary_encode()
-        index, unique = coded.indices.to_numpy(), [w.replace(NUL, "\0") for w in coded.dictionary.to_pylist()]
-        lattice = Lattice.of([SPACE + w for w in unique], self.vocabulary)
+        index, unique = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        del split, coded
+        lattice = Lattice.of([" " + w for w in unique], self.vocabulary)
+        del unique
         begin = lattice.begin[index]
         starts = np.concatenate(([0], np.cumsum(counts)))
         seeds = np.array(keys, np.uint64)
@@ -350,6 +347,15 @@ class Sampler:
             out.append([(self._ids(lattice.piece[e]), lp, g, inc) for e, lp, g, inc in found])
         return out
 
+    @staticmethod
+    def _words(texts: list[str | None]) -> pa.Array:
+        """The words of each text, each with all spaces before it but one; null for a text that is null or empty."""
+        plain = lambda t: "  " not in t and t[0] != " " and t[-1] != " "
+        if any(t and "\0" in t for t in texts):
+            return pa.array([[c[1:] for c in _RUNS.findall(" " + t)] if t else None for t in texts], pa.large_list(pa.large_string()))
+        apart = [(t.replace(" ", "\0") if plain(t) else "\0".join([c[1:] for c in _RUNS.findall(" " + t)])) if t else None for t in texts]
+        return pc.split_pattern(pa.array(apart, pa.large_string()), "\0")
+
     @staticmethod
     def _fresh(lattice: Lattice, begin: np.ndarray, seed: np.ndarray, place: np.ndarray, s: int):
         seed = _mixed(seed + _U(7 + 16 * s) + place * _STEPS[1])
@@ -374,7 +380,8 @@ class Sampler:
             return pieces.astype(np.int32)
         out, last = [], 0
         for at in np.flatnonzero(pieces < 0):
-            out += [pieces[last:at].astype(np.int32), self.vocabulary.byte_ids[list(chr(-1 - int(pieces[at])).encode())]]
+            own = -1 - int(pieces[at])
+            out += [pieces[last:at].astype(np.int32), self.vocabulary.byte_ids[list((SPACE if own == OWN_MARK else chr(own)).encode())]]
             last = at + 1
         return np.concatenate([*out, pieces[last:].astype(np.int32)])
 
@@ -435,7 +442,8 @@ def sample_pieces(docs: DataFrame, k: int = 2, seed: int = 23, model: str = MODE
 
     Whole texts are encoded.  A null or empty text has one segmentation, the empty one; a text with fewer than k segmentations gives
     all of them.  Rows of one id share their random numbers (so do rows with a null id), repeated rows give equal samples, and an
-    empty table gives no rows.  A U+2581 in a text is encoded, and so decoded, as a space.  Memory grows with the longest text.
+    empty table gives no rows.  A U+2581 in a text is encoded by its bytes, so decoding gives every text back.  Memory grows with the
+    longest text.
     """
     if k < 1:
         raise ValueError("k is at least 1")
