@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,12 +53,13 @@ def recursive_union(seed: DataFrame, step: Callable[[DataFrame], DataFrame]) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a folder of our own only where that is unset."""
+    """The folder every executor sees: spark.checkpoint.dir.  Only a local session may leave it unset and gets a folder of its own."""
     jsc = spark.sparkContext._jsc.sc()
     if not jsc.getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tarnlake-"))
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="tarnlake-"))
     return jsc.getCheckpointDir().get().rstrip("/")
 
 
