@@ -30,23 +30,26 @@ class Copy:
     null: str
     header: bool
     to: bool
+    path: str | None = None  # None: the client
+    query: str | None = None
 
 
 def parse_copy(statement: str) -> Copy:
-    """COPY t [(a, b)] FROM STDIN | TO STDOUT [WITH] [(options)] with FORMAT, DELIMITER, NULL, HEADER."""
-    m = re.match(r"\s*COPY\s+([\w.\"]+)\s*(?:\(([^)]*)\))?\s+(FROM\s+STDIN|TO\s+STDOUT)\b\s*(?:WITH\b)?\s*(.*?);?\s*$", statement, re.I | re.S)
-    if not m:
+    """COPY t [(a, b)] or COPY (query), FROM STDIN | FROM 'path' | TO STDOUT | TO 'path', [WITH] [(options)] with FORMAT, DELIMITER, NULL, HEADER."""
+    m = re.match(r"\s*COPY\s+(?:([\w.\"]+)\s*(?:\(([^)]*)\))?|\((.*)\))\s+(FROM|TO)\s+(STDIN|STDOUT|'(?:[^']|'')*')\s*(?:WITH\b)?\s*(.*?);?\s*$", statement, re.I | re.S)
+    if not m or (m[4].upper(), m[5].upper()) in (("FROM", "STDOUT"), ("TO", "STDIN")) or (m[3] and m[4].upper() == "FROM"):
         raise SqlError("42601", "COPY is not understood")
     columns = [c.strip().strip('"') for c in m[2].split(",")] if m[2] else []
     for c in columns:
         if not re.fullmatch(r"[A-Za-z_]\w*", c):
             raise SqlError("42601", f"column name {c!r} is not understood")
-    options = m[4]
+    options = m[6]
     kind = re.search(r"\b(csv|binary|text)\b", options, re.I)
     kind = kind[1].lower() if kind else "text"
     pick = lambda name, default: (x[1].replace("''", "'").replace("\\t", "\t") if (x := re.search(rf"\b{name}\b\s*(?:AS\s+)?E?'((?:[^']|'')*)'", options, re.I)) else default)
     header = re.search(r"\bHEADER\b\s*(true|false|on|off)?", options, re.I)
-    return Copy(m[1].replace('"', ""), columns, kind, pick("DELIMITER", "," if kind == "csv" else "\t"), pick("NULL", "" if kind == "csv" else "\\N"), bool(header) and (header[1] or "on").lower() in ("true", "on"), m[3].upper().startswith("TO"))
+    path = m[5][1:-1].replace("''", "'") if m[5][0] == "'" else None
+    return Copy((m[1] or "").replace('"', ""), columns, kind, pick("DELIMITER", "," if kind == "csv" else "\t"), pick("NULL", "" if kind == "csv" else "\\N"), bool(header) and (header[1] or "on").lower() in ("true", "on"), m[4].upper() == "TO", path, m[3])
 
 
 #: The escapes of COPY's text format, as the format fixes them.
@@ -153,14 +156,21 @@ def escaped(field: Column) -> Column:
     return out
 
 
-def write_text(df: DataFrame, path: str, null: str = "\\N") -> None:
+def write_text(df: DataFrame, path: str, null: str = "\\N", delimiter: str = "\t") -> None:
     """COPY ... TO in text format, a part file a partition."""
-    fields = [F.coalesce(escaped(F.when(F.col(f"`{c}`"), "t").when(~F.col(f"`{c}`"), "f") if k == "boolean" else F.col(f"`{c}`").cast("string")), F.lit(null)) for c, k in df.dtypes]
-    df.select(F.concat_ws("\t", *fields).alias("value")).write.text(path)
-
-
-def write_csv(df: DataFrame, path: str, header: bool = False) -> None:
-    """COPY ... TO in CSV: null unquoted, '' quoted."""
-    quoted = [F.when(F.col(f"`{c}`").isNull(), F.lit("")).when(F.col(f"`{c}`").cast("string").rlike('^$|[,"\r\n]'), F.concat(F.lit('"'), F.replace(F.col(f"`{c}`").cast("string"), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col(f"`{c}`").cast("string")) for c in df.columns]
-    lines = df.select(F.concat_ws(",", *quoted).alias("value"))
-    lines.write.option("lineSep", "\n").text(path)
+    own = lambda f: f if delimiter == "\t" else F.replace(f, F.lit(delimiter), F.lit("\\" + delimiter))
+    fields = [F.coalesce(own(escaped(F.when(F.col(f"`{c}`"), "t").when(~F.col(f"`{c}`"), "f") if k == "boolean" else F.col(f"`{c}`").cast("string"))), F.lit(null)) for c, k in df.dtypes]
+    df.select(F.concat_ws(delimiter, *fields).alias("value")).write.text(path)
+
+
+def write_csv(df: DataFrame, path: str, header: bool = False, delimiter: str = ",", null: str = "") -> None:
+    """COPY ... TO in CSV: null unquoted, and what would read as null, holds a delimiter, a quote or a line end, quoted; with a header a file."""
+    one = lambda f: F.when(f.rlike("[\"\r\n]") | f.contains(delimiter) | (f == "") | (f == F.lit(null)), F.concat(F.lit('"'), F.replace(f, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(f)
+    shown = [F.when(F.col(f"`{c}`"), "t").when(~F.col(f"`{c}`"), "f") if k == "boolean" else F.col(f"`{c}`").cast("string") for c, k in df.dtypes]
+    quoted = [F.coalesce(one(f), F.lit(null)) for f in shown]
+    lines = df.select(F.concat_ws(delimiter, *quoted).alias("value"))
+    if not header:
+        lines.write.option("lineSep", "\n").text(path)
+        return
+    # a header a file: Spark's writer puts one, and unquoted lines stay as they are
+    lines.toDF(delimiter.join(df.columns)).write.option("lineSep", "\n").option("header", True).option("sep", "\x02").option("quote", "").option("escape", "").option("emptyValue", "").csv(path)
