@@ -39,7 +39,7 @@ def statement(name: str, *texts: str, duck: str, tables: tuple[str, ...] = ("ord
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = session(spark, sf_dir, *tables)
         for text in texts[:-1]:
-            own.sql(text)
+            own.sql(text.replace("{scratch}", own.store.root))
         last = own.sql(texts[-1])
         return last if isinstance(last, DataFrame) else last.rows
 

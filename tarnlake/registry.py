@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import catalogue, statements
+from .plans import catalogue, pg_queries, statements
 
-QUERIES = {**catalogue.QUERIES, **statements.QUERIES}
-ORACLES = {**catalogue.ORACLES, **statements.ORACLES}
+QUERIES = {**catalogue.QUERIES, **statements.QUERIES, **pg_queries.QUERIES}
+ORACLES = {**catalogue.ORACLES, **statements.ORACLES, **pg_queries.ORACLES}

@@ -125,3 +125,88 @@ def test_dialect(db):
     assert one("WITH RECURSIVE r(n) AS (SELECT 1 UNION SELECT e.dst FROM r JOIN e ON e.src = r.n) SELECT n FROM r") == [(1,), (2,), (3,), (4,)]
     assert one("SELECT DISTINCT ON (src % 2) src, dst FROM e ORDER BY src % 2, dst DESC") == [(2, 3), (3, 4)]
     assert one("SELECT src FROM e ORDER BY src FETCH FIRST 2 ROWS ONLY") == [(1,), (2,)]
+
+
+def test_tables_are_read_as_they_are_now(db):
+    db.sql("CREATE TABLE u (x INT)")
+    db.sql("CREATE TABLE t (a INT)")
+    db.sql("INSERT INTO u VALUES (1)")
+    db.sql("INSERT INTO t VALUES (0)")
+    assert rows(db.sql("SELECT * FROM u")) == [(1,)]
+    db.sql("INSERT INTO u VALUES (100)")
+    db.sql("UPDATE t SET a = (SELECT max(x) FROM u)")
+    db.sql("INSERT INTO t VALUES ((SELECT max(x) + 1 FROM u))")
+    assert rows(db.sql("SELECT * FROM t")) == [(100,), (101,)]
+    db.sql("DROP TABLE u")
+    with pytest.raises(Exception):
+        db.sql("SELECT * FROM u")
+
+
+def test_rights_are_denied_by_default_and_audited(spark, db):
+    for text in ("CREATE TABLE t (a INT)", "CREATE TABLE u (a INT)", "CREATE ROLE bob", "CREATE ROLE team", "GRANT UPDATE ON t TO bob"):
+        db.sql(text)
+    bob = Session(spark, db.store.root, role="bob")
+    for text in ("SELECT * FROM t", "GRANT ALL ON t TO bob", "REVOKE UPDATE ON t FROM bob", "DROP TABLE t", "ALTER TABLE t ADD COLUMN b INT", "CREATE INDEX i ON t (a)", "CREATE VIEW v AS SELECT 1 AS a", "CREATE SCHEMA s", "TRUNCATE t", "COPY t TO '/tmp/x'", "UPDATE t SET a = (SELECT max(a) FROM u)", "GRANT team TO bob", "DROP ROLE team"):
+        fails(bob, text, "42501")
+    bob.sql("UPDATE t SET a = 1")
+    db.sql("GRANT SELECT ON t TO team")
+    db.sql("GRANT team TO bob")
+    assert rows(bob.sql("SELECT * FROM t")) == []
+    assert [(d.action, d.resource, d.allowed, d.reason) for d in bob.audit][-1] == ("SELECT", "t", True, "granted")
+    assert ("DROP", "t", False) in [(d.action, d.resource, d.allowed) for d in bob.audit]
+
+
+def test_grants_of_two_committers_both_stay(spark, db):
+    for text in ("CREATE TABLE t (a INT)", "CREATE ROLE a", "CREATE ROLE b"):
+        db.sql(text)
+    other = Session(spark, db.store.root)
+    db.sql("BEGIN")
+    db.sql("GRANT SELECT ON t TO a")
+    other.sql("GRANT SELECT ON t TO b")
+    other.sql("CREATE SCHEMA s")
+    db.sql("COMMIT")
+    assert sorted(g[2] for g in db.state["grants"]) == ["a", "b"] and db.state["schemas"] == ["public", "s"]
+
+
+def test_a_version_is_whole_or_absent(spark, db):
+    db.sql("CREATE TABLE t (a INT)")
+    assert not db.store._put(f"{db.store.root}/versions/1.json", "half")  # the name is taken
+    assert db.store.read(1)["tables"].keys() == {"t"} and db.store.versions() == [1]
+    for _ in range(3):
+        db.sql("INSERT INTO t VALUES (1)")
+    assert len(db.state["tables"]["t"]["data"]) == 3
+    db.sql("VACUUM t")
+    assert len(db.state["tables"]["t"]["data"]) == 1 and db.sql("SELECT * FROM t").count() == 3
+    assert db.store.vacuum(keep=1, age=0.0) == 3 and db.store.versions() == [5] and db.sql("SELECT * FROM t").count() == 3
+
+
+def test_portals_stream_and_cursors(db):
+    portal = db.portal("SELECT i FROM generate_series(1, 10) AS g(i) ORDER BY i")
+    assert [r[0] for r in portal.fetch(3)] == [1, 2, 3] and len(portal.fetch(100)) == 7 and portal.fetch(1) == []
+    seen = []
+    assert db.stream("SELECT i FROM generate_series(1, 4) AS g(i)", seen.append) == 4 and len(seen) == 4
+    fails(db, "DECLARE c CURSOR FOR SELECT 1", "25P01")
+    fails(db, "FETCH 1 FROM c", "34000")
+
+
+def test_copy_in_and_out(db):
+    db.sql("CREATE TABLE t (id INT, name TEXT, good BOOLEAN)")
+    assert db.copy_in("COPY t (id, name) FROM STDIN", "1\ta\\tb\n2\t\\N\n").tag == "COPY 2"
+    assert db.copy_in("COPY t FROM STDIN (FORMAT csv, HEADER)", 'id,name,good\n3,"x,""y""",t\n4,,\n').tag == "COPY 2"
+    assert rows(db.sql("SELECT id, name, good FROM t")) == [(1, "a\tb", None), (2, None, None), (3, 'x,"y"', True), (4, None, None)]
+    assert sorted(db.copy_out("COPY (SELECT id, name FROM t WHERE id < 3) TO STDOUT")) == ["1\ta\\tb", "2\t\\N"]
+    assert sorted(db.copy_out("COPY t TO STDOUT (FORMAT csv, HEADER)"))[-1] == "id,name,good"
+    fails(db, "COPY t (nothing) FROM '/tmp/none'", "42703")
+
+
+def test_catalog_relations_resolve(db):
+    from tarnlake.plans import system
+
+    db.sql("CREATE TABLE t (id INT PRIMARY KEY, v NUMERIC(10, 2) DEFAULT 1 CHECK (v > 0))")
+    db.sql("CREATE TABLE c (tid INT REFERENCES t(id))")
+    for name in system.RELATIONS:
+        schema = "pg_catalog" if name.startswith("pg_") else "information_schema"
+        assert db.sql(f"SELECT * FROM {schema}.{name}").columns
+    assert rows(db.sql("SELECT conname, conkey FROM pg_constraint WHERE contype = 'f'")) == [("c_tid_fkey", [1])]
+    assert rows(db.sql("SELECT ssl FROM pg_stat_ssl")) == [(False,)]
+    assert rows(db.sql("SELECT format_type(1043, 0) AS f, pg_get_userbyid(10) AS u")) == [("character varying", "postgres")]
