@@ -55,7 +55,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Loops, repeated edges and both directions are allowed; rows with a null end are ignored; no edges give no rows.
     """
-    live = edges.where("a is not null and b is not null and a <> b").select("a", "b")
+    # written first, as edges mostly come from Python workers, and a task should not need two at a time
+    live = written(edges.where("a is not null and b is not null and a <> b").select("a", "b"), "links")
     live = written(live.mapInArrow(_contract_here, "a bigint, b bigint").distinct(), "edges")
     labels: DataFrame | None = None
     while not live.isEmpty():

@@ -427,6 +427,7 @@ def _sample_batches(path: str, k: int, seed: int):
                         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
                         rest = [pa.array([r[c] for r in rows], t) for c, t in ((0, pa.int64()), (1, pa.int32()), (3, pa.float64()), (4, pa.float64()), (5, pa.float64()))]
                         yield pa.RecordBatch.from_arrays([*rest[:2], lists, *rest[2:]], names)
+                        del found, rows, values, offsets, lists, rest
                     low, size, taken = at, 0, []
                 if at < len(ids):
                     text = texts[at].as_py() or ""
