@@ -116,28 +116,39 @@ def link_quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: st
     is its own thread (thread is then its turn).  Rows of one conv_id and turn are one message: each keeps its row and text, what
     one of them quotes holds for all.  Very long texts are parsed whole; an empty table gives no rows.
     """
-    rows = own_columns(messages, conv=conv_col, turn=turn_col, role=role_col, text=text_col)
-    rows = rows.select(F.col("conv").cast("bigint").alias("conv"), F.col("turn").cast("bigint").alias("turn"), "role", "text", parsed_lines(F.col("text")).alias("lines"))
-    rows = rows.select("conv", "turn", "role", "text", unquoted(F.col("lines")).alias("clean"), passages(F.col("lines")).alias("runs"))
-    usable = rows.where("conv is not null and turn is not null and text is not null").select("conv", "turn", F.explode(anchors(F.col("runs"))).alias("a")).select("conv", "turn", "a.level", "a.grain", "a.hash")
-    quoted = written(usable.where("level > 0"), "quoted")
+    raw = own_columns(messages, conv=conv_col, turn=turn_col, role=role_col, text=text_col)
+    raw = raw.select(F.col("conv").cast("bigint").alias("conv"), F.col("turn").cast("bigint").alias("turn"), "role", "text")
+    rows = raw.select("*", parsed_lines(F.col("text")).alias("lines")).select("conv", "turn", "text", passages(F.col("lines")).alias("runs"))
+    usable = rows.where("conv is not null and turn is not null and text is not null").select("conv", "turn", F.explode(anchors(F.col("runs"))).alias("a")).select("conv", "turn", "a.level", "a.grain", F.unhex("a.hash").alias("hash"))
+    usable = written(usable, "anchors")  # texts are parsed here and for the output, and nowhere else
+    quoted = usable.where("level > 0")
     own = usable.where("level = 0").select("conv", "turn", "hash").distinct()
     linked = latest_before(own, quoted)
     ranked = linked.groupBy("conv", "turn", "target").agg(F.min("level").alias("level"), F.max("grain").alias("grain"), F.count(F.lit(1)).alias("n"))
     replies = ranked.groupBy("conv", "turn").agg(F.max(F.struct(-F.col("level"), "grain", "n", "target"))["target"].alias("parent"))
     replies = written(replies, "parents")
     placed = threads(replies).join(replies, ["conv", "turn"]).select(F.col("conv").alias("c"), F.col("turn").alias("t"), "parent", "thread", "depth")
-    out = rows.join(placed, (F.col("conv") == F.col("c")) & (F.col("turn") == F.col("t")), "left").select(
+    ordered = raw.join(placed, (F.col("conv") == F.col("c")) & (F.col("turn") == F.col("t")), "left").select(
         F.col("conv").alias("conv_id"),
         "turn",
         "role",
-        F.when(F.col("text").isNotNull(), F.col("clean")).alias("text"),
-        F.coalesce(F.size(F.filter("runs", lambda r: r["level"] > 0)), F.lit(0)).cast("bigint").alias("quotes"),
+        "text",
         F.col("parent").alias("reply_to"),
         F.coalesce("thread", "turn").alias("thread"),
         F.coalesce("depth", F.lit(0)).cast("bigint").alias("depth"),
     )
-    return out.orderBy("conv_id", "thread", "depth", "turn")
+    # parsed once they are in order: a sort by range reads its input twice
+    lined = ordered.orderBy("conv_id", "thread", "depth", "turn").select("*", parsed_lines(F.col("text")).alias("lines"))
+    return lined.select("*", unquoted(F.col("lines")).alias("clean"), passages(F.col("lines")).alias("runs")).select(
+        "conv_id",
+        "turn",
+        "role",
+        F.when(F.col("text").isNotNull(), F.col("clean")).alias("text"),
+        F.coalesce(F.size(F.filter("runs", lambda r: r["level"] > 0)), F.lit(0)).cast("bigint").alias("quotes"),
+        "reply_to",
+        "thread",
+        "depth",
+    )
 
 
 ORACLE = r"""
