@@ -25,6 +25,8 @@ from .common import own_columns, written
 BUCKETS, DIM, ORDERS = 1 << 15, 16, (2, 3, 4)
 #: The sample: about so many rows a language at most, and about so many in all (but one or more of each language).
 ROWS_A_LANGUAGE, ROWS = 1500, 6000
+#: The sample's n-gram counts (eight bytes each) number about so many at most, by an upper bound a text; longer texts leave fewer rows.
+FEATURES = 40_000_000
 BROADCAST_LANGUAGES = 100_000
 EPOCHS, BATCH, RATE = 12, 32, 60.0
 PRECISION = 0.95
@@ -175,14 +177,16 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 5) -> Model:
     """Train on about ROWS_A_LANGUAGE rows of each language and ROWS in all at most, chosen by a hash of their id.
 
-    Every language is learned, however many there are: with more of them each gives fewer rows, one at least.  Rows without a language or
-    without a letter teach nothing.  What the driver gets is n-gram counts of the sample."""
+    Every language is learned, however many there are: with more of them each gives fewer rows, one at least, and so does one of very long
+    texts.  Rows without a language or without a letter teach nothing.  What the driver gets is n-gram counts of the sample, about
+    FEATURES at most; the texts that are taken are counted whole."""
     rows = own_columns(labelled, id=id_col, text=text_col, lang=lang_col).where("lang is not null and text is not null")
     chance = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000_000)) / F.lit(1_000_000_000.0)
     rows = rows.where(F.col("text").rlike(r"\p{L}")).withColumn("chance", chance)
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("chance").alias("least"))
+    kinds = F.least(F.lit(float(BUCKETS)), F.lit(float(len(ORDERS))) * (F.octet_length("text") + 1))  # a text has no more n-gram counts
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("chance").alias("least"), F.avg(kinds).alias("kinds"))
     known = counts.agg(F.count(F.lit(1)).alias("languages"))  # one row
-    each = F.least(F.lit(float(ROWS_A_LANGUAGE)), F.lit(float(ROWS)) / F.col("languages"))
+    each = F.least(F.lit(float(ROWS_A_LANGUAGE)), F.lit(float(ROWS)) / F.col("languages"), F.lit(float(FEATURES)) / F.col("languages") / F.col("kinds"))
     wanted = written(counts.join(F.broadcast(known)).select("lang", "least", (each / F.col("n")).alias("share")), "shares")
     shares = F.broadcast(wanted) if wanted.count() <= BROADCAST_LANGUAGES else wanted
     sample = rows.join(shares, "lang").where("chance < share or chance = least").select("text", "lang")

@@ -615,6 +615,17 @@ def test_every_language_is_learned_however_many(spark, monkeypatch):
     assert model.languages == [f"l{i:03d}" for i in range(300)]
 
 
+def test_long_texts_bound_the_sample(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(langid, "train", lambda rows, languages, seed=5: sizes.append((len(rows), languages)))
+    docs = spark.range(4000).selectExpr("id AS doc_id", "if(id < 2000, repeat(concat('wort ', id), 50), concat('mot ', id)) AS text", "if(id < 2000, 'a', 'b') AS lang")
+    langid.fit(docs)
+    monkeypatch.setattr(langid, "FEATURES", 200_000)
+    langid.fit(docs)
+    (free, both), (bounded, same) = sizes
+    assert both == same == ["a", "b"] and free > 2500 and 1450 < bounded < 1800  # about 75 of the long texts, and the short ones as before
+
+
 def test_means_against_a_naive_mean(monkeypatch):
     rng = random.Random(7)
     monkeypatch.setattr(langid, "PIECE", 256)
