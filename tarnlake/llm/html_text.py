@@ -53,9 +53,11 @@ PARTS = frozenset(
     " bottom primary secondary site page main global post entry article user reader thread respond module region row col main js id new latest the of to and number count".split()
 )
 PAGE_HEADERS = frozenset("header site-header main-header global-header top-header".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S)
+#: A quote counts only after "=", so an apostrophe in a value doesn't swallow text; a tag that the page's end cuts short is dropped.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?[a-zA-Z](?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+(?:>|\Z)|[^<]+|<", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: Every attribute in order, so that no word of a value is taken for a name.
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _WORDS = re.compile(r"[^\W\d_]+")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _END_RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}

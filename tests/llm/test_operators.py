@@ -682,6 +682,19 @@ def test_layout_classes_are_not_noise():
     assert html_text.main_text('<div class="site-header">a</div><div class="ad-slot">b</div><div class="reader-comments">c</div><p>d</p>') == "d"
 
 
+def test_words_of_attribute_values_are_not_attributes():
+    assert html_text.main_text('<article><p title="the hidden valley">hello world</p></article>') == "hello world"
+    assert html_text.main_text('<blockquote cite="http://x/?id=ad&class=menu">hello world</blockquote>') == "hello world"
+    assert html_text.main_text('<p>hello</p><div HIDDEN>no</div><div data-a="1"class=ad>no</div><p style="overflow: hidden">world</p>') == "hello world"
+
+
+def test_quotes_and_ends_inside_tags():
+    assert html_text.main_text("<p class=it's>hello</p><p>world isn't flat</p>") == "hello world isn't flat"
+    assert html_text.main_text('<p>hello <a href="x>y">world</a></p><div class="foo') == "hello world"
+    assert html_text.main_text("<p>a < b and <3") == "a < b and <3"
+    assert html_text.main_text("<p>x</p>" + '<a b="' * 50_001) == "x"
+
+
 def test_importance_against_brute_force(spark):
     rng = random.Random(17)
     rows = []
