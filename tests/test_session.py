@@ -30,6 +30,10 @@ def test_insert_defaults_update_delete_returning(db):
     assert rows(db.sql("SELECT * FROM t")) == [(3, 11, "x"), (4, 3, "x")]
     db.sql("INSERT INTO t SELECT id + 10, a, b FROM t")
     assert db.sql("SELECT * FROM t").count() == 4
+    db.sql("INSERT INTO t SELECT 21")  # without a list the first columns are filled
+    assert rows(db.sql("SELECT * FROM t WHERE id = 21")) == [(21, 10, "x")]
+    fails(db, "INSERT INTO t SELECT 22, 1, 'a', 2", "42601")
+    fails(db, "INSERT INTO t (id, a) SELECT 22", "42601")
 
 
 def test_constraints(db):
