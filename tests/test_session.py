@@ -214,3 +214,24 @@ def test_catalog_relations_resolve(db):
     assert rows(db.sql("SELECT conname, conkey FROM pg_constraint WHERE contype = 'f'")) == [("c_tid_fkey", [1])]
     assert rows(db.sql("SELECT ssl FROM pg_stat_ssl")) == [(False,)]
     assert rows(db.sql("SELECT format_type(1043, 0) AS f, pg_get_userbyid(10) AS u")) == [("character varying", "postgres")]
+
+
+@pytest.mark.parametrize(
+    "query",
+    [
+        "SELECT c.id, o.v FROM c JOIN LATERAL (SELECT v FROM o WHERE o.id = c.id ORDER BY at DESC, v LIMIT 1) o ON TRUE",
+        "SELECT id, (SELECT v FROM o WHERE o.id = c.id ORDER BY o.at + 0 DESC, 1 FETCH FIRST ROW ONLY) AS v FROM c",
+        "SELECT c.id, o.v FROM c JOIN LATERAL (WITH w AS (SELECT * FROM o) SELECT v FROM w WHERE w.id = c.id ORDER BY at DESC NULLS LAST, v LIMIT 1) o ON TRUE",
+    ],
+)
+def test_limit_of_a_correlated_subquery_keeps_its_order(db, query):
+    db.sql("CREATE TABLE c AS SELECT id FROM range(5)")
+    db.sql("CREATE TABLE o AS SELECT id % 5 AS id, (id * 7) % 40 AS at, 1000 - id AS v FROM range(40)")
+    found = db.sql(query)
+    best = {}
+    for i in range(40):
+        best[i % 5] = max(best.get(i % 5, (-1, 0)), ((i * 7) % 40, 1000 - i))
+    assert rows(found) == [(k, best[k][1]) for k in range(5)]
+    # without its keys the rows are numbered in whatever order a shuffle brings them
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(id" in plan and all("DESC" in line for line in plan.splitlines() if "row_number() windowspecdefinition" in line)
