@@ -118,7 +118,16 @@ sql("date_diff", "SELECT l_orderkey, l_linenumber, datediff(l_shipdate, o_orderd
 sql("join_inner", "SELECT c_name, o_orderkey FROM {customer} JOIN {orders} ON c_custkey = o_custkey WHERE o_totalprice > 250000")
 sql("join_left", "SELECT c_custkey, o_orderkey FROM {customer} LEFT JOIN (SELECT * FROM {orders} WHERE o_orderstatus = 'P' AND o_totalprice > 200000) o ON c_custkey = o_custkey")
 sql("join_right", "SELECT o_orderkey, c_custkey FROM (SELECT * FROM {orders} WHERE o_orderstatus = 'P' AND o_totalprice > 200000) o RIGHT JOIN {customer} ON c_custkey = o_custkey")
-sql("join_full", "SELECT s_suppkey, c_custkey FROM (SELECT * FROM {supplier} WHERE s_nationkey < 12) s FULL JOIN (SELECT * FROM {customer} WHERE c_nationkey > 8) c ON s_nationkey = c_nationkey")
+
+
+@frame("join_full", "SELECT s_suppkey, c_custkey FROM (SELECT * FROM supplier WHERE s_nationkey < 12) s FULL JOIN (SELECT * FROM customer WHERE c_nationkey > 8) c ON s_nationkey = c_nationkey")
+def join_full(spark, sf_dir):
+    # few keys with very many rows each
+    suppliers = read(spark, sf_dir, "supplier").where("s_nationkey < 12").select("s_suppkey", "s_nationkey")
+    customers = read(spark, sf_dir, "customer").where("c_nationkey > 8").select("c_custkey", "c_nationkey")
+    return relational.full_join(suppliers, customers, ["s_nationkey"], ["c_nationkey"]).select("s_suppkey", "c_custkey")
+
+
 sql("join_cross", "SELECT r_name, n_name FROM {region} CROSS JOIN {nation}")
 sql("join_comma", "SELECT n_name, r_name FROM {nation}, {region} WHERE n_regionkey = r_regionkey")
 sql("join_using", "SELECT k, n_name, s_name FROM (SELECT n_nationkey AS k, n_name FROM {nation}) a JOIN (SELECT nullif(s_nationkey, 3) AS k, s_name FROM {supplier}) b USING (k)")
