@@ -235,3 +235,20 @@ def test_limit_of_a_correlated_subquery_keeps_its_order(db, query):
     # without its keys the rows are numbered in whatever order a shuffle brings them
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number() windowspecdefinition(id" in plan and all("DESC" in line for line in plan.splitlines() if "row_number() windowspecdefinition" in line)
+
+
+def test_rows_that_a_change_meets_are_told_by_numbers(db, monkeypatch):
+    for text in ("CREATE TABLE t (id BIGINT, v TEXT)", "CREATE TABLE u (id BIGINT)", "INSERT INTO u SELECT id % 10 FROM range(40)"):
+        db.sql(text)
+    for start in (0, 100, 200):  # several folders and files, with the same row numbers
+        db.sql(f"INSERT INTO t SELECT id + {start}, 'v' FROM range(20)")
+    written, write = [], db.store.write_data
+    monkeypatch.setattr(db.store, "write_data", lambda df: (written.append(df), write(df))[1])
+    assert db.sql("DELETE FROM t USING u WHERE t.id = u.id + 100").tag == "DELETE 10"
+    assert written[0].dtypes == [("tl_at", "bigint")]  # no paths, and no columns that nobody asked for
+    assert rows(db.sql("UPDATE t SET v = 'w' FROM u WHERE t.id = u.id RETURNING t.id")) == [(i,) for i in range(10)]
+    assert rows(db.sql("DELETE FROM t AS x USING u WHERE x.id = u.id + 200 RETURNING id, v")) == [(i, "v") for i in range(200, 210)]
+    assert db.sql("DELETE FROM t WHERE id IN (SELECT id + 210 FROM u)").tag == "DELETE 10"
+    joins = [line for df in written for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line and "Anti" in line]
+    assert joins and not any("tl_file" in line for line in joins)
+    assert set(rows(db.sql("SELECT * FROM t"))) == {(i, "w" if i < 10 else "v") for i in [*range(20), *range(110, 120)]} and db.sql("SELECT * FROM t").count() == 30
