@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -242,6 +243,36 @@ def test_every_text_comes_back():
             assert all(own.decode(x[0]) == (text or "") for x in found)
 
 
+def test_texts_are_sampled_together_and_alone_alike():
+    own, rng = pieces.sampler(pieces.MODEL), random.Random(3)
+    texts = ["".join(rng.choices("abcde  é😀▁the", k=rng.choice([0, 1, 5, 40, 900]))) for _ in range(60)] + ["\u4e00" * 30, None, "the " * 700]
+    for k in (1, 2, 5):
+        for i, found in enumerate(own.sample(texts, list(range(len(texts))), k)):
+            (alone,) = own.sample([texts[i]], [i], k)
+            assert [(x[0].tolist(), *x[1:]) for x in found] == [(x[0].tolist(), *x[1:]) for x in alone]  # to the last bit
+
+
+def test_more_texts_take_no_more_steps():
+    own, rng = pieces.sampler(pieces.MODEL), random.Random(4)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(300)]
+
+    def steps(n):
+        texts, count = [" ".join(rng.choices(words, k=300)) for _ in range(n)], 0
+
+        def called(frame, event, _):
+            nonlocal count
+            count += event == "call" and frame.f_code.co_filename == pieces.__file__
+
+        sys.setprofile(called)
+        try:
+            own.sample(texts, list(range(n)), 2)
+        finally:
+            sys.setprofile(None)
+        return count
+
+    assert steps(400) - steps(40) < 5 * 360  # splitting into words is two calls a text
+
+
 def test_pieces_awkward(awkward, nothing):
     got = pieces.decode_pieces(pieces.sample_pieces(awkward, 2)).collect()
     texts = awkward.select("doc_id", "text").collect()
